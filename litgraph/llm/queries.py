@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import cooccurrence, frequency
+from . import cooccurrence, encoding, frequency
 
 QUERIES = {}
 SQL = {}
@@ -66,3 +66,13 @@ c AS (SELECT term, count(*) AS corpus_count FROM (SELECT DISTINCT doc_id, pos, t
 SELECT term, corpus_count, doc_freq, CASE WHEN doc_freq = 1 THEN 'rare' WHEN doc_freq * 3 > (SELECT count(DISTINCT doc_id) FROM dt) THEN 'common' END AS mark
 FROM f JOIN c USING (term)"""
 SQL["p3_found"] = f"SELECT term, mark FROM ({SQL['p3_terms']}) WHERE mark IS NOT NULL"
+
+
+@query
+def p8_found(spark, sf_dir):
+    return encoding.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query
+def p8_restored(spark, sf_dir):
+    return encoding.garbled(table(spark, sf_dir, "documents"))
