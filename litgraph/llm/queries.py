@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
-from . import cooccurrence, encoding, frequency
+from . import cooccurrence, encoding, frequency, packing
 
 QUERIES = {}
 SQL = {}
@@ -76,3 +78,24 @@ def p8_found(spark, sf_dir):
 @query
 def p8_restored(spark, sf_dir):
     return encoding.garbled(table(spark, sf_dir, "documents"))
+
+
+@query
+def p6_found(spark, sf_dir):
+    return packing.must_split(table(spark, sf_dir, "documents"))
+
+
+SQL["p6_found"] = r"""SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) > 1024"""
+
+
+@query
+def p6_packed(spark, sf_dir):
+    return packing.packed(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+@query
+def p6_containers(spark, sf_dir):
+    """Containers by how much of them is used: one row per used share in percent."""
+    pieces = packing.packed(packing.token_counts(table(spark, sf_dir, "documents")))
+    fill = pieces.groupBy("partition", "container").agg(F.sum("n_tokens").alias("tokens"))
+    return fill.groupBy(F.floor(F.col("tokens") * 100 / packing.CAPACITY).alias("percent")).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
