@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import cooccurrence, encoding, frequency, packing
+from . import cooccurrence, encoding, frequency, leakage, packing
 
 QUERIES = {}
 SQL = {}
@@ -99,3 +99,14 @@ def p6_containers(spark, sf_dir):
     pieces = packing.packed(packing.token_counts(table(spark, sf_dir, "documents")))
     fill = pieces.groupBy("partition", "container").agg(F.sum("n_tokens").alias("tokens"))
     return fill.groupBy(F.floor(F.col("tokens") * 100 / packing.CAPACITY).alias("percent")).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+
+
+@query
+def p7_found(spark, sf_dir):
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p7_items(spark, sf_dir):
+    """Items that leaked, with the number of documents that hold them."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
