@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import cooccurrence, encoding, frequency, leakage, packing
+from . import cooccurrence, encoding, frequency, leakage, packing, setjoin
 
 QUERIES = {}
 SQL = {}
@@ -110,3 +110,25 @@ def p7_found(spark, sf_dir):
 def p7_items(spark, sf_dir):
     """Items that leaked, with the number of documents that hold them."""
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+@query
+def p5_found(spark, sf_dir):
+    return setjoin.similar_papers(table(spark, sf_dir, "papers"))
+
+
+SETS_SQL = """s AS (SELECT f AS field_name, pmid, list_sort(list_distinct(regexp_extract_all(any_value(v), '[0-9]+'))) AS x FROM
+  (SELECT 'refs' AS f, pmid, refs AS v FROM papers UNION ALL SELECT 'cited_by', pmid, cited_by FROM papers) WHERE pmid IS NOT NULL GROUP BY 1, 2)"""
+SQL["p5_found"] = f"""WITH {SETS_SQL},
+u AS (SELECT field_name, pmid, len(x) AS k, unnest(x) AS t FROM s WHERE len(x) >= 5)
+SELECT field_name, a AS pmid_a, b AS pmid_b FROM (SELECT p.field_name, p.pmid AS a, q.pmid AS b, p.k + q.k AS sizes, count(*) AS c
+  FROM u p JOIN u q ON p.field_name = q.field_name AND p.t = q.t AND p.pmid < q.pmid GROUP BY 1, 2, 3, 4) WHERE c * 1000 >= 600 * (sizes - c)"""
+
+
+@query
+def p5_classes(spark, sf_dir):
+    return setjoin.paper_classes(table(spark, sf_dir, "papers"))
+
+
+SQL["p5_classes"] = f"""WITH {SETS_SQL}
+SELECT field_name, pmid, min(pmid) OVER (PARTITION BY field_name, x) AS class_key, count(*) OVER (PARTITION BY field_name, x) AS copies FROM s WHERE len(x) >= 5"""
