@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import cooccurrence, encoding, frequency, leakage, packing, setjoin
+from . import cooccurrence, encoding, frequency, leakage, names, packing, setjoin
 
 QUERIES = {}
 SQL = {}
@@ -132,3 +132,14 @@ def p5_classes(spark, sf_dir):
 
 SQL["p5_classes"] = f"""WITH {SETS_SQL}
 SELECT field_name, pmid, min(pmid) OVER (PARTITION BY field_name, x) AS class_key, count(*) OVER (PARTITION BY field_name, x) AS copies FROM s WHERE len(x) >= 5"""
+
+
+@query
+def p4_found(spark, sf_dir):
+    return names.same_person(table(spark, sf_dir, "bylines"))
+
+
+@query
+def p4_persons(spark, sf_dir):
+    """One row per byline with the person it names."""
+    return names.persons(table(spark, sf_dir, "bylines"))
