@@ -24,6 +24,7 @@ LEXEME = re.compile(r"""\\u[0-9a-fA-F]{4}|\\.|""|["']|[\[\]{}]|[;|\t\r\n]|,|:|\s
 STRONG = frozenset(";|\t\r\n")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 BLANKS = re.compile(r"\s+")
+SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def unescape(lexeme: str) -> str:
@@ -63,6 +64,8 @@ def scan(text: str, delimiters: frozenset) -> list[tuple[str, bool]]:
     def end() -> None:
         nonlocal quoted
         value = "".join(buf)
+        if SURROGATE.search(value):  # escaped in halves; a half alone is no character
+            value = value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
         buf.clear()
         if quoted or value.strip():
             out.append((value, quoted))
