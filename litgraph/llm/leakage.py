@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text: SimHash windows and multi-index Hamming blocks.
 
 Windows are sized by the items: half of the least share of the shortest passage, so that a leak in two stretches holds
-whole windows. Each window of an item and of a document gets a 64-bit SimHash of its words, those that few items use
+whole windows, and 8 words at most, so that they fit between replaced words. Each window of an item and of a document gets a 64-bit SimHash of its words, those that few items use
 weighing more. Fingerprints are cut into four blocks of 16 bits; two within a Hamming radius of 3 agree in one block at
 least, so the lookup by block finds all of them. A hit gives an alignment of item and document words. The exact check
 follows every alignment word by word, joins its parts to stretches, and takes the two best in order. A pair is reported
@@ -30,7 +30,7 @@ from ..plans.physical import spread
 SHARE = 0.4
 BLOCK = 4096
 RADIUS, BLOCKS, BITS = 3, 4, 16
-LEAST_WINDOW = 5
+LEAST_WINDOW, MOST_WINDOW = 5, 8
 #: Windows of a text that are fingerprinted at a time
 STEP = 1 << 16
 #: Rows for words that no item uses; such words only have to disturb a fingerprint
@@ -39,6 +39,8 @@ MARKUP = re.compile(r"<[^<>]{1,200}>|&#?\w{1,8};")
 WORD = re.compile(r"[^\W_]+")
 #: Item words without a match that may lie inside a stretch, and by how many words its alignment may drift
 GAP, DRIFT = 4, 6
+#: Share of a stretch's weight that has to agree
+AGREE = 0.65
 
 
 def words(text: str) -> list[str]:
@@ -63,7 +65,7 @@ class Index:
         self.items = [(key, ws) for key, ws in texts if ws]
         lengths = [len(ws) for _, ws in self.items]
         self.share = share
-        self.window = max(LEAST_WINDOW, int(min(lengths, default=0) * share / 2))
+        self.window = min(MOST_WINDOW, max(LEAST_WINDOW, int(min(lengths, default=0) * share / 2)))
         uses: dict[str, int] = {}
         for _, ws in self.items:
             for w in set(ws):
@@ -74,6 +76,7 @@ class Index:
         rows = [signs(w) for w in uses] + [signs(f"\0{i}") for i in range(OTHERS)]
         self.table = (np.array(rows).reshape(-1, 64) * np.rint(weight)[:, None].astype(np.int32)).astype(np.int32)
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
+        self.weights = [weight[ids] for ids in self.words]
         prints, owner, place = [], [], []
         for k, ids in enumerate(self.words):
             got = self.fingerprints(ids)
@@ -124,17 +127,18 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
 
-    def stretches(self, ids: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> list[list[int]]:
-        """[item from, item to, document from, document to) of the runs along the diagonals; parts that drift apart
-        by a few words are joined."""
-        runs = []
+    def stretches(self, ids: np.ndarray, k: int, diagonals: np.ndarray) -> list[list[int]]:
+        """[item from, item to, document from, document to) of the runs along the diagonals that agree in most of
+        their weight; parts that drift apart by a few words are joined. Sentences of one pattern with other names in
+        them agree in many words and little weight."""
+        runs, item, weights = [], self.words[k], self.weights[k]
         for d in diagonals:
             lo, hi = max(0, -d), min(len(item), len(ids) - d)
             same = np.flatnonzero(item[lo:hi] == ids[lo + d : hi + d]) + lo
             if len(same) < 3:
                 continue
             for part in np.split(same, np.flatnonzero(np.diff(same) > 3) + 1):
-                if len(part) >= 4 and len(part) * 2 >= part[-1] - part[0] + 1:
+                if len(part) >= 4 and weights[part].sum() >= AGREE * weights[part[0] : part[-1] + 1].sum():
                     runs.append([int(part[0]), int(part[-1]) + 1, int(part[0] + d), int(part[-1] + d) + 1])
         runs.sort()
         out: list[list[int]] = []
@@ -148,9 +152,8 @@ class Index:
         return out
 
     def holds(self, ids: np.ndarray, k: int, diagonals: np.ndarray) -> bool:
-        item = self.words[k]
-        need = self.share * len(item)
-        runs = self.stretches(ids, item, diagonals)
+        need = self.share * len(self.words[k])
+        runs = self.stretches(ids, k, diagonals)
         best = max((r[1] - r[0] for r in runs), default=0)
         if best >= need:
             return True
