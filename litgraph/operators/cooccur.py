@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..plans.physical import cut
 from . import graph
 
 #: Kept terms up to which the list is broadcast
@@ -56,12 +57,16 @@ def term_degree(edges: DataFrame) -> DataFrame:
 
 
 def trim(edges: DataFrame, limit: int) -> DataFrame:
-    """Edges among the ``limit`` best connected nodes. Ties go to the node that the first kept edge brought first."""
-    ends = edges.select(F.col("a").alias("term"), F.struct("first_seq", "a", "b", F.lit(0).alias("side")).alias("at")).unionByName(
-        edges.select(F.col("b").alias("term"), F.struct("first_seq", "a", "b", F.lit(1).alias("side")).alias("at"))
-    )
+    """Edges among the ``limit`` best connected nodes. Ties go to the node that the first kept edge brought first.
+
+    The edges are read three times, so they are materialised first: as many rows as kept pairs, not as documents.
+    """
+    edges = cut(edges)
+    end = lambda term, side: F.struct(F.col(term).alias("term"), F.struct("first_seq", "a", "b", F.lit(side).alias("side")).alias("at"))
+    ends = edges.select(F.inline(F.array(end("a", 0), end("b", 1))))
     nodes = ends.groupBy("term").agg(F.count("*").alias("degree"), F.min("at").alias("at"))
-    return graph.induced(edges, nodes.orderBy(F.desc("degree"), "at").limit(limit).select("term"), "a", "b", "term", small=True)
+    kept = cut(nodes.orderBy(F.desc("degree"), "at").limit(limit).select("term"))
+    return graph.induced(edges, kept, "a", "b", "term", small=True)
 
 
 def build(mentions: DataFrame, keep_terms: DataFrame | None, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..plans.physical import cut
 
 
 def negatives(n: Column, cfg: Config) -> Column:
@@ -51,6 +52,7 @@ def term_scores(profile: DataFrame, cand: DataFrame, pool: DataFrame, cfg: Confi
     q = unit_terms(profile.groupBy("pool", "term").agg(F.count("*").cast("double").alias("w")))
     scores = score(q)
     if cfg.rocchio_gamma > 0:
+        scores = cut(scores)
         neg = tail(scores, cfg)
         against = unit_terms(cand.join(neg, ["pool", "id"]).groupBy("pool", "term").agg(F.count("*").cast("double").alias("w")))
         moved = q.withColumnRenamed("w", "q").join(against.withColumnRenamed("w", "m"), ["pool", "term"], "full_outer")
@@ -84,20 +86,21 @@ def embed_scores(profile: DataFrame, cand: DataFrame, cfg: Config = Config()) ->
     Selection uses the raw cosines; reported are those about the pool's mean, with negatives of their own. With
     ``relevance_center`` both are about the mean. Null vectors drop out.
     """
-    p = profile.where("vec IS NOT NULL").select("pool", unit("vec").alias("vec"))
-    c = cand.where("vec IS NOT NULL").select("pool", "id", "ord", unit("vec").alias("vec"))
+    p = cut(profile.where("vec IS NOT NULL").select("pool", unit("vec").alias("vec")))
+    c = cut(cand.where("vec IS NOT NULL").select("pool", "id", "ord", unit("vec").alias("vec")))
 
     def score(p: DataFrame, c: DataFrame) -> DataFrame:
         q = centroid(p, "vec", "q", "pool").select("pool", unit("q").alias("q"))
+        q = cut(q)
         first = c.join(q, "pool").withColumn("score", F.round(dot("vec", "q"), 12))
         if cfg.rocchio_gamma > 0:
             worst = first.join(tail(first.select("pool", "id", "ord", "score"), cfg), ["pool", "id"], "left_semi")
             m = centroid(worst, "vec", "m", "pool").select("pool", unit("m").alias("m"))
-            moved = q.join(m, "pool", "left").select("pool", F.when(F.col("m").isNull(), F.col("q")).otherwise(unit(minus("q", "m", cfg.rocchio_gamma))).alias("q"))
+            moved = q.join(cut(m), "pool", "left").select("pool", F.when(F.col("m").isNull(), F.col("q")).otherwise(unit(minus("q", "m", cfg.rocchio_gamma))).alias("q"))
             first = c.join(moved, "pool").withColumn("score", F.round(dot("vec", "q"), 12))
         return first.select("pool", "id", "ord", "score")
 
-    mu = centroid(c, "vec", "mu", "pool")
+    mu = cut(centroid(c, "vec", "mu", "pool"))
     about = lambda df, *cols: df.join(mu, "pool").select("pool", *cols, unit(minus("vec", "mu")).alias("vec"))
     centred = score(about(p), about(c, "id", "ord"))
     if cfg.relevance_center:
