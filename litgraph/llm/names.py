@@ -12,8 +12,8 @@
    and bare initials go to the one person they fit.
 
 Results for odd input: null and blank names are linked to nothing; a null affiliation matches any, by its family name;
-equal rows are linked like others; persons of more than ``PAIRS`` rows are linked by chain to their first row instead
-of in all pairs; an empty table gives an empty result; extra columns are ignored.
+equal rows are linked like others; persons of any size come out in all pairs, block against block of about ``BLOCK``
+rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..plans.physical import cut, spread
 
 SHARE = 0.002
-PAIRS = 256
+BLOCK = 256
 #: Lost grams that the join survives: one slip of any kind in short names, two in names of LONG letters or more
 LONG, LOST_SHORT, LOST_LONG = 8, 3, 5
 #: Grams for names without an affiliation, and those that one slip may take
@@ -393,9 +393,12 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
 def same_person(bylines: DataFrame, key: str = "byline_id") -> DataFrame:
     """(byline_a, byline_b) of rows that name one person."""
     rows = cut(persons(bylines, key))
-    sized = rows.groupBy("person").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
-    known = rows.join(sized, "person")
-    few = known.where(F.col("n") <= PAIRS)
-    pairs = few.select("person", F.col(key).alias("byline_a")).join(few.select("person", F.col(key).alias("byline_b")), "person").where("byline_a < byline_b").select("byline_a", "byline_b")
-    many = known.where((F.col("n") > PAIRS) & (F.col(key) != F.col("first"))).select(F.col("first").alias("byline_a"), F.col(key).alias("byline_b"))
-    return pairs.unionByName(many)
+    sized = rows.groupBy("person").agg(F.count("*").alias("n")).where("n > 1").select("person", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    known = rows.join(sized, "person").withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int"))
+    # a row goes to every pair of blocks with its own, so no join key holds more than two blocks
+    met = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("person", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col(key).alias("row"))
+    x = met.where("block = low").select("person", "low", "high", F.col("row").alias("x"))
+    y = met.where("block = high").select("person", "low", "high", F.col("row").alias("y"))
+    pairs = x.join(y, ["person", "low", "high"]).where("x < y OR (low < high AND x <> y)")
+    return pairs.select(F.least("x", "y").alias("byline_a"), F.greatest("x", "y").alias("byline_b"))

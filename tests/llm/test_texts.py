@@ -178,3 +178,10 @@ def test_same_person(spark):
     got = {tuple(r) for r in names.same_person(df).collect()}
     assert {p for p in got if p[0] < cut or p[1] < cut} == want
     assert not any(9001 in p or 9002 in p for p in got) and names.same_person(df.limit(0)).count() == 0
+
+
+def test_persons_of_many_rows_in_all_pairs(spark):
+    spellings = ["Quaselfen, Benjamin", "Benjamin J Quaselfen", "QUASELFEN Benjamin"]
+    df = spark.createDataFrame([(k, spellings[k % 3], "University of Orvford") for k in range(600)], "byline_id long, author_name string, affiliation string")
+    got = [tuple(r) for r in names.same_person(df).collect()]
+    assert len(got) == len(set(got)) == 600 * 599 // 2 and all(a < b for a, b in got)
