@@ -390,6 +390,36 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
     return rows.join(whole.select("inst", "family", "given", "initials", person.alias("person")), ["inst", "family", "given", "initials"]).select(F.col("key").alias(key), "person")
 
 
+def agree(a: str, b: str) -> bool:
+    """Whether two spellings share a word of at least three letters, up to two slips."""
+    x, y = ([w for w in LETTERS.findall(fold(s)) if len(w) > 2] for s in (a, b))
+    return any(distance(v, w, 2) <= min(2, len(v) // 3) for v in x for w in y)
+
+
+def paper_authors(authors: DataFrame, papers: DataFrame, bylines: DataFrame) -> DataFrame:
+    """(rec_id, pos, byline_id, person): authors of packed records and rows of bylines, linked together.
+
+    ``authors`` has (rec_id, pos, item_value). A row of the result has either rec_id and pos, or byline_id. An author
+    has the affiliation of the byline at the same place of the paper if the names there agree, else none.
+    """
+    at = bylines.where("pmid IS NOT NULL AND pos IS NOT NULL").groupBy("pmid", "pos").agg(F.min(F.struct(F.col("author_name").alias("said"), F.col("affiliation").alias("place"))).alias("by"))
+    named = authors.select("rec_id", "pos", "item_value").join(papers.select("rec_id", "pmid"), "rec_id").join(at, ["pmid", "pos"], "left").select("rec_id", "pos", "item_value", "by.said", "by.place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, said, places = (batch.column(c).to_pylist() for c in ("item_value", "said", "place"))
+            place = [p if p and a and b and agree(a, b) else None for a, b, p in zip(names, said, places)]
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), batch.column("pos"), batch.column("item_value"), pa.array(place, pa.string())], names=["rec_id", "pos", "name", "place"])
+
+    placed = named.mapInArrow(run, "rec_id bigint, pos int, name string, place string")
+    key = lambda r, p, b: F.struct(r.cast("bigint").alias("rec_id"), p.cast("int").alias("pos"), b.cast("bigint").alias("byline_id")).alias("row")
+    none = F.lit(None)
+    both = placed.select(key(F.col("rec_id"), F.col("pos"), none), "name", "place").unionByName(
+        bylines.where("byline_id IS NOT NULL").select(key(none, none, F.col("byline_id")), F.col("author_name").alias("name"), F.col("affiliation").alias("place"))
+    )
+    return persons(both, "row", "name", "place").select("row.rec_id", "row.pos", "row.byline_id", "person")
+
+
 def same_person(bylines: DataFrame, key: str = "byline_id") -> DataFrame:
     """(byline_a, byline_b) of rows that name one person."""
     rows = cut(persons(bylines, key))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.packed import packed_values
 from ..sources.tables import table
 from . import cooccurrence, encoding, frequency, leakage, names, packing, setjoin
 
@@ -143,3 +144,11 @@ def p4_found(spark, sf_dir):
 def p4_persons(spark, sf_dir):
     """One row per byline with the person it names."""
     return names.persons(table(spark, sf_dir, "bylines"))
+
+
+@query
+def p4_paper_authors(spark, sf_dir):
+    """One row per author of papers.authors and per byline with the person it names."""
+    papers = table(spark, sf_dir, "papers")
+    authors = packed_values(papers).where("field_name = 'authors'")
+    return names.paper_authors(authors, papers, table(spark, sf_dir, "bylines"))

@@ -185,3 +185,12 @@ def test_persons_of_many_rows_in_all_pairs(spark):
     df = spark.createDataFrame([(k, spellings[k % 3], "University of Orvford") for k in range(600)], "byline_id long, author_name string, affiliation string")
     got = [tuple(r) for r in names.same_person(df).collect()]
     assert len(got) == len(set(got)) == 600 * 599 // 2 and all(a < b for a, b in got)
+
+
+def test_paper_authors_are_linked_with_bylines(spark):
+    a, b = "University of Orvford", "Orvford Cancer Centre"
+    bylines = spark.createDataFrame([(1, "p1", 1, "Quaselfen, Benjamin", a), (2, "p2", 1, "Quaselfen, Benjamin", b), (3, "p3", 1, "Tirverski, Olga", a)], "byline_id long, pmid string, pos int, author_name string, affiliation string")
+    papers = spark.createDataFrame([(11, "p1"), (12, "p2"), (13, "p4")], "rec_id long, pmid string")
+    authors = spark.createDataFrame([(11, 1, "Benjamin Quaseflen"), (12, 1, "QUASELFEN, B."), (13, 1, "Olga Tirverski")], "rec_id long, pos int, item_value string")
+    got = {r["rec_id"] or r["byline_id"]: r["person"] for r in names.paper_authors(authors, papers, bylines).collect()}
+    assert got[11] == got[1] != got[2] == got[12] and got[13] == got[3] != got[1] and len(got) == 6
