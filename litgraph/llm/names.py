@@ -1,15 +1,16 @@
 """Variant spellings of people's names: rows that name one person are linked.
 
 1. Names are parsed into family, given name and initials. Roles that the spelling leaves open ("Li Mei", "Mei Li") are
-   told by a vocabulary of given names, learned over all rows from spellings that leave nothing open; each entry has at
-   least ``SHARE`` of the evidence, so there are at most 1/SHARE. Nicknames are learned from names that quote them.
+   told by given names, learned over all rows from spellings that leave nothing open. Those with at least ``SHARE`` of
+   the evidence, at most 1/SHARE, are a list; all rarer ones stay a table: it decides the order of words that the list
+   doesn't (``turned``). Nicknames are learned from names that quote them.
 2. Candidates: prefix-filtered set-similarity join on q-grams of the family name. Grams are ordered from rare to common
    over all rows, and only the first few of a name are joined, together with institution and initial. Names without an
    affiliation are joined by longer grams against all.
 3. Verification: soft weighted token similarity. Tokens are compared by edit distance and weighted by rarity; the same
    slip counts against a pair where both spellings are common, as then they are two names, not one misspelt.
-4. Each spelling goes to the most frequent one it matches, given names within a family and institution make persons,
-   and bare initials go to the one person they fit.
+4. Each spelling goes to the most frequent one it matches. Given names that are not on the list are compared within a
+   family and institution (``called``). Given names make persons, and bare initials go to the one person they fit.
 
 Results for odd input: null and blank names are linked to nothing; a null affiliation matches any, by its family name;
 equal rows are linked like others; persons of any size come out in all pairs, block against block of about ``BLOCK``
@@ -250,24 +251,34 @@ def workplace(affiliation: str | None) -> str:
     return found or other or ""
 
 
-def learn(rows: DataFrame) -> Vocabulary:
-    """Given names and nicknames from spellings that leave no doubt. What reaches the driver is bounded by SHARE."""
+def learn(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Given names and nicknames from spellings that leave no doubt; what reaches the driver is bounded by SHARE.
+
+    Beside it all the evidence (kind, given, nick, n), squeezed: words that are a ``given`` or ``family`` name for sure,
+    and those that stand ``first`` or ``last`` where that is open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, str], int] = {}
+            seen: dict[tuple[str, str, str], int] = {}
             for name in batch.column("name").to_pylist():
                 p = parse(name)
-                if p and not p.open and len(p.given) > 1:
-                    seen[p.given, ""] = seen.get((p.given, ""), 0) + 1
-                    if p.nick:
-                        seen[p.given, p.nick] = seen.get((p.given, p.nick), 0) + 1
-                elif p and p.open and p.nick and len(p.tokens) > 1:
+                if not p:
+                    continue
+                found = []
+                if not p.open:
+                    found.append(("family", p.family, ""))
+                    if len(p.given) > 1:
+                        found += [("given", p.given, "")] + [("given", p.given, p.nick)] * bool(p.nick)
+                elif len(p.tokens) > 1:
                     first = given_key(p.tokens[0])
-                    seen[first, p.nick] = seen.get((first, p.nick), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["given", "nick", "n"])
+                    found += [("first", first, ""), ("last", family_key(p.tokens[1:]), "")] + [("given", first, p.nick)] * bool(p.nick)
+                for k in found:
+                    seen[k] = seen.get(k, 0) + 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.string()) for i in range(3)), pa.array(list(seen.values()), pa.int64())], names=["kind", "given", "nick", "n"])
 
-    counts = cut(rows.mapInArrow(run, "given string, nick string, n bigint").groupBy("given", "nick").agg(F.sum("n").alias("n")))
+    evidence = cut(rows.mapInArrow(run, "kind string, given string, nick string, n bigint").groupBy("kind", "given", "nick").agg(F.sum("n").alias("n")))
+    counts = evidence.where("kind = 'given'")
     totals = {r["is_nick"]: r["n"] for r in counts.groupBy((F.col("nick") != "").alias("is_nick")).agg(F.sum("n").alias("n")).collect()}
     given = [r["given"] for r in counts.where((F.col("nick") == "") & (F.col("n") >= max(2, SHARE * totals.get(False, 0)))).select("given").collect()]
     known = counts.where((F.col("nick") != "") & (F.col("n") >= SHARE * totals.get(True, 0)))
@@ -275,30 +286,101 @@ def learn(rows: DataFrame) -> Vocabulary:
     for r in known.collect():
         if r["given"] in given:
             nicknames[r["nick"]] = max(nicknames.get(r["nick"], (0, "")), (r["n"], r["given"]))
-    return Vocabulary(given, {n: g for n, (_, g) in nicknames.items() if n != g})
+    short = lambda c: F.regexp_replace(c, DIGRAPHS.pattern, "$1").alias(c)
+    squeezed = evidence.select("kind", short("given"), short("nick"), "n").groupBy("kind", "given", "nick").agg(F.sum("n").alias("n"))
+    return Vocabulary(given, {n: g for n, (_, g) in nicknames.items() if n != g}), squeezed
 
 
 def parsed(bylines: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """(key, inst, family, given, initials): ``given`` is the name it stands for, or "" if there are only initials."""
+    """(key, inst, family, given, initials, ...): ``given`` is the name it stands for, or "" if there are only initials.
+
+    Where the vocabulary doesn't tell the order of the words, the second reading is in ``other_``; ``word`` is the given
+    name as written and ``sure`` how well the vocabulary knows it.
+    """
     shared = bylines.sparkSession.sparkContext.broadcast((vocabulary.spelled, vocabulary.quoted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*shared.value)
+
+        def reading(p: Parsed) -> tuple:
+            given = vocabulary.canonical(p.given)[0] if len(p.given) > 1 else ""
+            return p.family, given, p.initials or given[:1], squeeze(p.given), vocabulary.canonical(p.given)[1]
+
         for batch in batches:
-            at, cols = [], ([], [], [], [])
+            at, places, rows = [], [], []
             for i, (name, affiliation) in enumerate(zip(batch.column("name").to_pylist(), batch.column("affiliation").to_pylist())):
                 p = parse(name)
-                p = p and vocabulary.resolve(p)
-                if not p or not p.family:
+                if not p:
+                    continue
+                one, other = reading(vocabulary.resolve(p)), (None,) * 5
+                if p.open:
+                    both = [reading(Parsed(family_key(f), g, g[:1], p.nick)) for f, g in ((p.tokens[1:], given_key(p.tokens[0])), (p.tokens[:-1], given_key(p.tokens[-1])))]
+                    both = [r for r in both if r[0] and r[3]]
+                    if len(both) == 2 and max(r[4] for r in both) < 2:
+                        one, other = both
+                if not one[0]:
                     continue
-                given = vocabulary.canonical(p.given)[0] if len(p.given) > 1 else ""
                 at.append(i)
-                for c, v in zip(cols, (workplace(affiliation), p.family, given, p.initials or given[:1])):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in cols)], names=[key, "inst", "family", "given", "initials"])
+                places.append(workplace(affiliation))
+                rows.append(one + other)
+            cols = list(zip(*rows)) or [()] * 10
+            kinds = [pa.string()] * 4 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(places, pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds * 2))], names=[key, "inst", *READING, *(f"other_{c}" for c in READING)])
 
     kind = bylines.schema["key"].dataType.simpleString()
-    return bylines.mapInArrow(run, f"`{key}` {kind}, inst string, family string, given string, initials string")
+    types = [(p + c, "int" if c == "sure" else "string") for p in ("", "other_") for c in READING]
+    return bylines.mapInArrow(run, f"`{key}` {kind}, inst string, " + ", ".join(f"{c} {t}" for c, t in types))
+
+
+READING = ("family", "given", "initials", "word", "sure")
+
+
+def turned(rows: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """(key, inst, family, given, initials) in the order of words that has more evidence for it, else as written.
+
+    First counts where the words are a given and a family name for sure, then the vocabulary, then which of the two
+    orders is the usual one among names that leave it open.
+    """
+    kept = [key, "inst", "family", "given", "initials"]
+    form = [p + c for c in ("family", "word", "sure") for p in ("", "other_")]
+    asked = rows.where("other_family IS NOT NULL").select(*form).distinct()
+    questions = [F.struct(F.lit(o).alias("at"), F.lit(k).alias("kind"), F.col(p + c).alias("token")) for o, p in ((1, ""), (2, "other_")) for k, c in (("given", "word"), ("family", "family"), ("first", "word"), ("last", "family"))]
+    known = evidence.where("nick = ''").select("kind", F.col("given").alias("token"), F.log1p("n").alias("weight"))
+    votes = asked.withColumn("q", F.explode(F.array(*questions))).select(*form, "q.*").join(known, ["kind", "token"], "left")
+    part = lambda at, *kinds: F.sum(F.when((F.col("at") == at) & F.col("kind").isin(*kinds), F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
+    score = [F.struct(F.round(part(at, "given", "family"), 9).alias("a"), F.first(sure).alias("b"), F.round(part(at, "first", "last"), 9).alias("c")) for at, sure in ((1, "sure"), (2, "other_sure"))]
+    told = votes.groupBy(*form).agg((score[1] > score[0]).alias("swap"))
+    told = rows.where("other_family IS NOT NULL").join(told, form).select(key, "inst", *(F.when(F.col("swap"), F.col(f"other_{c}")).otherwise(F.col(c)).alias(c) for c in kept[2:]))
+    return rows.where("other_family IS NULL").select(*kept).unionByName(told)
+
+
+def called(placed: DataFrame, evidence: DataFrame, house: list[str]) -> DataFrame:
+    """(house, given, called): given names off the list go to the commonest of the house that they match.
+
+    They match if they are one slip apart, or one is quoted as the nickname of the other. As with family names, two
+    spellings both in wide use are two names.
+    """
+    names = cut(placed.where("given <> ''").groupBy(*house, "given").agg(F.sum("n").alias("n"), F.max("listed").alias("listed")))
+    rare = names.where("NOT listed").join(names.groupBy("given").agg(F.count("*").alias("uses")), "given")
+    size = F.char_length("given")
+    less = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("given", F.lit(1), i - 1), F.substring("given", i + 1, size)))
+    cropped = rare.where(size > 3).withColumn("part", F.explode(F.array_distinct(F.concat(F.array("given"), less))))
+    a, b = (cropped.select(*house, "part", F.col("given").alias(s), F.col("uses").alias(f"uses_{s}")) for s in "ab")
+    near = a.join(b, [*house, "part"]).where(f"a < b AND least(uses_a, uses_b) < greatest({COMMON}, greatest(uses_a, uses_b) / {OFTEN})").select(*house, "a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([distance(x, y, 1) == 1 for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.bool_()))
+
+    slips = near.mapInArrow(run, near.schema)
+    quoted = evidence.where("kind = 'given' AND nick <> '' AND nick <> given").select(F.col("nick").alias("a"), F.col("given").alias("b"))
+    nicks = rare.select(*house, F.col("given").alias("a")).join(quoted, "a").join(names.select(*house, F.col("given").alias("b")), [*house, "b"]).select(*house, "a", "b")
+    edges = slips.unionByName(nicks)
+    both = edges.unionByName(edges.select(*house, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select(*house, F.col("given").alias("a"), F.col("given").alias("b")))
+    target = names.select(*house, F.col("given").alias("b"), F.struct("listed", "n", "given").alias("to"))
+    best = cut(both.join(target, [*house, "b"]).groupBy(*house, "a").agg(F.max("to").alias("to")).select(*house, "a", F.col("to.given").alias("b")))
+    step = best.select(*house, F.col("a").alias("given"), F.col("b").alias("a"))
+    return step.join(best, [*house, "a"]).select(*house, "given", F.col("b").alias("called"))
 
 
 def grams(size: int):
@@ -345,11 +427,14 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
     """(key, person): rows with the same ``person`` name one person."""
     base = bylines.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(affiliation).alias("affiliation")).where("key IS NOT NULL AND trim(name) <> ''")
     base = spread(base, "key")
-    vocabulary = learn(base.select("name"))
-    rows = cut(parsed(base, vocabulary, "key"))
+    vocabulary, evidence = learn(base.select("name"))
+    evidence = cut(evidence)
+    rows = cut(turned(cut(parsed(base, vocabulary, "key")), evidence, "key"))
     starts = F.create_map(*[F.lit(x) for g, s in sorted(vocabulary.starts.items()) for x in (g, "".join(sorted(s | {g[:1]})))]) if vocabulary.starts else None
     letters = F.when(F.col("given") == "", F.substring("initials", 1, 1)).otherwise(F.coalesce(starts[F.col("given")], F.substring("given", 1, 1)) if starts is not None else F.substring("given", 1, 1))
-    forms = cut(rows.groupBy("inst", "family", "given", "initials").agg(F.count("*").alias("n")).withColumn("letters", letters))
+    forms = rows.groupBy("inst", "family", "given", "initials").agg(F.count("*").alias("n")).withColumn("letters", letters).withColumn("listed", F.col("given").isin(sorted(vocabulary.given)) if vocabulary.given else F.lit(False))
+    more = evidence.where("kind = 'given' AND nick <> ''").groupBy("given").agg(F.array_join(F.array_sort(F.collect_set(F.substring("nick", 1, 1))), "").alias("more"))
+    forms = cut(forms.join(more, "given", "left").withColumn("letters", F.when(F.col("listed") | F.col("more").isNull(), F.col("letters")).otherwise(F.concat("letters", "more"))).drop("more"))
 
     # spellings of family names by institution
     spelled = cut(forms.groupBy("inst", "family").agg(F.sum("n").alias("n")))
@@ -378,14 +463,15 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
     # given names make persons; initials go to the one person they fit
     placed = cut(forms.join(home, ["inst", "family"]))
     house = ["home_inst", "home_family"]
-    people = placed.where("given <> ''").groupBy(*house, "given").agg(F.sum("n").alias("n"), F.max("letters").alias("letters"), F.collect_set(F.substring("initials", 2, 1)).alias("middles"))
+    placed = cut(placed.join(called(placed, evidence, house), [*house, "given"], "left"))
+    people = placed.where("given <> ''").groupBy(*house, F.col("called").alias("given")).agg(F.sum("n").alias("n"), F.array_join(F.collect_set("letters"), "").alias("letters"), F.collect_set(F.substring("initials", 2, 1)).alias("middles"))
     bare = placed.where("given = ''").select(*house, "initials").distinct()
     match = bare.join(people, house).where(F.expr("initials = '' OR instr(letters, substring(initials, 1, 1)) > 0"))
     middle = F.substring("initials", 2, 1)
     fits = F.when(middle == "", 1).when(F.array_contains("middles", middle), 2).otherwise(0)
     ranked = match.withColumn("fits", fits).groupBy(*house, "initials").agg(F.max(F.struct("fits", "n", "given")).alias("top"), F.sort_array(F.collect_list("fits"), asc=False).alias("all"))
     chosen = ranked.where("size(all) = 1 OR all[0] > all[1]").select(*house, "initials", F.col("top.given").alias("meant"))
-    whole = placed.join(chosen, [*house, "initials"], "left").withColumn("who", F.when(F.col("given") != "", F.col("given")).otherwise(F.coalesce("meant", F.concat(F.substring("initials", 1, 1), F.lit(".")))))
+    whole = placed.join(chosen, [*house, "initials"], "left").withColumn("who", F.when(F.col("given") != "", F.col("called")).otherwise(F.coalesce("meant", F.concat(F.substring("initials", 1, 1), F.lit(".")))))
     person = F.sha2(F.concat_ws("\0", *house, "who"), 256)
     return rows.join(whole.select("inst", "family", "given", "initials", person.alias("person")), ["inst", "family", "given", "initials"]).select(F.col("key").alias(key), "person")
 

@@ -194,3 +194,19 @@ def test_paper_authors_are_linked_with_bylines(spark):
     authors = spark.createDataFrame([(11, 1, "Benjamin Quaseflen"), (12, 1, "QUASELFEN, B."), (13, 1, "Olga Tirverski")], "rec_id long, pos int, item_value string")
     got = {r["rec_id"] or r["byline_id"]: r["person"] for r in names.paper_authors(authors, papers, bylines).collect()}
     assert got[11] == got[1] != got[2] == got[12] and got[13] == got[3] != got[1] and len(got) == 6
+
+
+def test_rare_given_names_have_variants(spark):
+    a = "University of Orvford"
+    letters = "bcdfghjklm"
+    rows = [(k, f"Family{letters[k % 10]}on, {letters[k % 10]}a{letters[k // 10 % 10]}o{letters[k // 100]}ur", f"Place{k} Institute") for k in range(600)]
+    people = [["Smith, John", "Jhon Smith", "John Smith", "Smith John"], ["Wexler, Zebulon", 'Wexler, Zebulon "Tibby"', "Tibby Wexler", "Wexler Zebulon"], ["Smith, Peregrine"]]
+    want, k = set(), 1000
+    for group in people:
+        ids = range(k, k + len(group))
+        rows += [(i, n, a) for i, n in zip(ids, group)]
+        want |= {(x, y) for x in ids for y in ids if x < y}
+        k += 100
+    df = spark.createDataFrame(rows, "byline_id long, author_name string, affiliation string")
+    got = {tuple(r) for r in names.same_person(df).collect()}
+    assert {p for p in got if p[1] >= 1000} == want
