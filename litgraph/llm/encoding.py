@@ -2,8 +2,8 @@
 
 Main stage. The characters of a text are mapped back to the bytes of a legacy code page, and an automaton over the
 structure of UTF-8 (a lead byte, then its continuation bytes) finds the maximal well-formed multibyte spans. Only
-those spans are decoded, and only if what comes out is text that people write (``plausible``). Rounds repeat, since
-texts are garbled more than once. The code page is chosen by the characters its spans explain.
+those spans are decoded, and only if what comes out is text that people write (``plausible``), or letters of one script
+(``consistent``), of any language. Rounds repeat, since texts are garbled more than once. The code page is chosen by the characters its spans explain.
 
 Second stage, for bytes of one single-byte code page read in another, where no multibyte structure exists: words in which letters
 stand beside symbols, frames, letters of another script or capitals within lower case are mapped back word by word,
@@ -16,6 +16,7 @@ judged alike. Columns other than the two named are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from ..plans.physical import spread
 
 ROUNDS = 4
-#: Code pages that texts are misread in, and the lead bytes that each may show. Fixed values.
+#: Code pages that texts are misread in, and the lead bytes that each may show by themselves. Fixed values.
 LATIN, WIDE = (0xC2, 0xC3, 0xCE, 0xCF, 0xE2, 0xEF), (0xC2, 0xC3, 0xC4, 0xC5, 0xCE, 0xCF, 0xD0, 0xD1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF, 0xF0)
 CODE_PAGES = {
     "cp1252": WIDE,
@@ -63,9 +64,8 @@ def char_class(chars: list[str]) -> str:
     return "[" + "".join(map(re.escape, chars)) + "]"
 
 
-def automaton(page: str) -> re.Pattern:
+def automaton(page: str, leads) -> re.Pattern:
     """Maximal runs of well-formed UTF-8 sequences as they look in ``page``."""
-    leads = CODE_PAGES[page]
     of = {}
     for c, b in MAPS[page].items():
         of.setdefault("tail" if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4, []).append((c, b))
@@ -74,8 +74,9 @@ def automaton(page: str) -> re.Pattern:
     return re.compile("(?:" + "|".join(parts) + ")+")
 
 
-AUTOMATA = {page: automaton(page) for page in CODE_PAGES}
-LEADS = {page: frozenset(c for c, b in MAPS[page].items() if b in leads) for page, leads in CODE_PAGES.items()}
+AUTOMATA = {page: automaton(page, range(0xC2, 0xF5)) for page in CODE_PAGES}
+USUAL = {page: automaton(page, leads) for page, leads in CODE_PAGES.items()}
+LEADS = {page: frozenset(c for c, b in MAPS[page].items() if 0xC2 <= b <= 0xF4) for page in CODE_PAGES}
 ANY_LEAD = frozenset().union(*LEADS.values())
 #: Blocks of decoded characters that count as text. Fixed values.
 BLOCKS = ((0x80, 0x9F), (0xA0, 0x17F), (0x192, 0x192), (0x2C6, 0x2DD), (0x370, 0x3FF), (0x400, 0x45F), (0x1E00, 0x1EFF), (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x25A0), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEF), (0xFFFD, 0xFFFD), (0x1F300, 0x1FAFF))
@@ -85,26 +86,57 @@ def plausible(text: str) -> bool:
     return all(any(lo <= ord(c) <= hi for lo, hi in BLOCKS) for c in text)
 
 
+def script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
+def consistent(text: str, touches: bool) -> bool:
+    """Letters of one script: three of them, or two of three bytes; one Latin letter in a word."""
+    if any(unicodedata.category(c) in ("Cn", "Co", "Cs", "Cc") for c in text):
+        return False
+    letters = [c for c in text if c.isalpha()]
+    scripts = {"CJK" if script(c) in ("HIRAGANA", "KATAKANA") else script(c) for c in letters}
+    if len(scripts) != 1:
+        return False
+    long = sum(c >= "\u0800" for c in letters)
+    return len(letters) >= 3 or long >= 2 or (touches and scripts == {"LATIN"} and all(c.isalpha() or c in "\xa0" for c in text))
+
+
 def is_weak(garbled: str) -> bool:
     """Two characters that sound texts may hold side by side: a capital or a unit, and a closing sign."""
     return len(garbled) == 2 and garbled[1] in CLOSERS and garbled[0] in CAPITALS
 
 
-def decode_spans(text: str, page: str) -> tuple[str, int, int]:
-    """The text with the page's spans decoded, the characters these explain, and how many spans are not weak."""
+def spans(text: str, page: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, decoded): whole maximal spans of one script, else the parts of them with usual leads."""
     back = MAPS[page]
-    out, last, explained, firm = [], 0, 0, 0
-    for m in AUTOMATA[page].finditer(text):
+
+    def decoded(garbled: str) -> str:
         try:
-            got = bytes(back[c] for c in m.group()).decode("utf-8")
+            return bytes(back[c] for c in garbled).decode("utf-8")
         except UnicodeDecodeError:
+            return ""
+
+    for m in AUTOMATA[page].finditer(text):
+        usual = USUAL[page].fullmatch(m.group())
+        touches = text[max(0, m.start() - 1) : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()
+        got = decoded(m.group())
+        if got and (usual and plausible(got) or consistent(got, touches)):
+            yield m.start(), m.end(), got
             continue
-        if not plausible(got):
-            continue
-        out += [text[last : m.start()], got]
-        last = m.end()
-        explained += len(m.group())
-        firm += not is_weak(m.group())
+        for part in USUAL[page].finditer(m.group()):
+            if (got := decoded(part.group())) and plausible(got):
+                yield m.start() + part.start(), m.start() + part.end(), got
+
+
+def decode_spans(text: str, page: str) -> tuple[str, int, int]:
+    """The text with the page's spans decoded, the characters these explain, and how many spans are not weak."""
+    out, last, explained, firm = [], 0, 0, 0
+    for start, end, got in spans(text, page):
+        out += [text[last:start], got]
+        last = end
+        explained += end - start
+        firm += not is_weak(text[start:end])
     out.append(text[last:])
     return "".join(out), explained, firm
 

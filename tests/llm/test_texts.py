@@ -210,3 +210,18 @@ def test_rare_given_names_have_variants(spark):
     df = spark.createDataFrame(rows, "byline_id long, author_name string, affiliation string")
     got = {tuple(r) for r in names.same_person(df).collect()}
     assert {p for p in got if p[1] >= 1000} == want
+
+
+@pytest.mark.parametrize(
+    "text, page",
+    [("שלום וברכה", "cp1252"), ("تحليل الدراسة", "cp1252"), ("การศึกษา", "cp1252"), ("अध्ययन", "cp1252"), ("한국어 연구", "cp1252"), ("nghiên cứu bệnh viện", "cp1252"), ("Резюме статьи", "mac_roman"), ("własny język", "mac_roman")],
+)
+def test_every_script_is_restored(text, page):
+    back = {b: c for c, b in encoding.MAPS[page].items() if b < 0xA0 and c < "\xa0"}
+    garbled = "".join(bytes([b]).decode(page, "ignore") or back[b] for b in text.encode())
+    assert encoding.restore("note: " + garbled) == ("note: " + text, True)
+
+
+@pytest.mark.parametrize("text", ["«Чі» та «ВЧ» – ІНСТИТУТ»", "ИССЛЕДОВАНИЕ «РОШ»…", "≈±5 – á, ƒ° and —É"])
+def test_sound_scripts_stay(text):
+    assert encoding.restore(text) == (text, False)
