@@ -575,7 +575,7 @@ def rel_expand(spark, sf_dir):
     library = corpus(spark, sf_dir)
     seed_ids = seeds(spark, sf_dir).select(F.col("id").alias("pmid"))
     seed_docs = library.join(seed_ids, "pmid", "left_semi")
-    return expansion.relevance_guided_expand(seed_docs, library, table(spark, sf_dir, "links"), Config(expand_max=100_000)).select("doc_id", "expand_phase", "relevance", "rank")
+    return expansion.relevance_guided_expand(seed_docs, library, table(spark, sf_dir, "links"), Config(expand_max=None)).select("doc_id", "expand_phase", "relevance", "rank")
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------

@@ -107,3 +107,11 @@ def test_seed_links(spark):
     assert found("backward") == {"5"} and found("forward") == {"6"} and found("both") == {"5", "6"}
     with pytest.raises(ValueError):
         evaluate.seed_links(trials, links, "sideways")
+
+
+def test_rel_expand_scores_all_it_reaches(spark, sf_dir, monkeypatch):
+    from litgraph import queries
+
+    asked, whole = [], queries.expansion.expand_pmids
+    monkeypatch.setattr(queries.expansion, "expand_pmids", lambda *a: asked.append(a[5]) or whole(*a))
+    assert queries.QUERIES["rel_expand"](spark, sf_dir).count() and set(asked) == {None}
