@@ -125,14 +125,47 @@ def test_leaks_of_all_kinds(spark):
 
 def test_radius_is_guaranteed():
     r = np.random.default_rng(4)
-    ix = leakage.Index([(0, " ".join(f"w{i}" for i in range(80)))])
-    for row in range(len(ix.prints)):
-        for _ in range(3):
-            flip = np.uint64(0)
-            for b in r.choice(64, leakage.RADIUS, replace=False):
-                flip |= np.uint64(1) << np.uint64(b)
-            _, item = ix.hits(np.array([ix.prints[row] ^ flip]))
-            assert row in item
+    prints = np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))
+    blocks = leakage.Blocks(prints)
+    for row in range(len(prints)):
+        flip = np.uint64(0)
+        for b in r.choice(64, leakage.RADIUS, replace=False):
+            flip |= np.uint64(1) << np.uint64(b)
+        assert row in blocks.within(np.array([prints[row] ^ flip]))[1]
+
+
+def test_near_windows_need_the_radius():
+    """Stretches in which no whole window of the passage is left unchanged."""
+    r = np.random.default_rng(6)
+    passage = [f"w{i}" for i in range(140)]
+    texts = []
+    for _ in range(40):
+        stretch = list(passage[20:90])
+        for j in range(8, 70, 12):
+            stretch[j] = f"x{r.integers(1000)}"
+        texts.append(" ".join([f"y{r.integers(1000)}" for _ in range(30)] + stretch))
+    found = lambda radius: len(leakage.Index([(0, " ".join(passage))], radius=radius).leaked(texts))
+    assert found(7) == 40 and found(0) == 0
+
+
+def test_items_of_any_length():
+    """Windows follow the passage; what a stretch of the text holds is found wherever it begins."""
+    for n in (1, 3, 5, 12, 30, 90, 400, 1500):
+        passage = [f"w{i}" for i in range(n)]
+        need = n if n < leakage.LEAST else max(leakage.LEAST, -(-2 * n // 5))
+        ix = leakage.Index([("k", " ".join(passage))])
+        texts = [" ".join(["pad"] * shift + passage[min(n // 4, n - need) :][:need]) for shift in range(12)]
+        assert ix.leaked(texts) == [(i, 0) for i in range(12)]
+        assert ix.leaked([" ".join(passage[: max(0, need - 2)]), "", None]) == []
+
+
+def test_texts_of_many_pieces(monkeypatch):
+    monkeypatch.setattr(leakage, "STEP", 64)
+    passage = [f"w{i}" for i in range(100)]
+    ix = leakage.Index([(0, " ".join(passage)), (1, "unrelated words of another passage " * 12)])
+    texts = [" ".join(["pad"] * shift + passage[:45] + ["pad"] * 300) for shift in range(0, 400, 7)]
+    assert ix.leaked(texts) == [(i, 0) for i in range(len(texts))]
+    assert leakage.Index([]).leaked(texts) == []
 
 
 @pytest.mark.parametrize(
