@@ -1,9 +1,10 @@
 """Frequency of every distinct term: heavy-light aggregation.
 
-Heavy terms are found by a mergeable frequent-items sketch over the term column; its result is at most ``HEAVY``
-terms, whatever the input. Rows of heavy terms never shuffle by term: they are reduced to (document, heavy index),
-spread over documents, and added up in one fixed array of counters per task. Only rows of the remaining terms are
-shuffled by term. Both count tables are exact; the sketch only decides the route.
+One pass over the rows normalises terms and removes what was delivered twice; it leaves (document, term, times), which is
+written once. Heavy terms are found on it by a mergeable frequent-items sketch, whose result is at most ``HEAVY`` terms,
+whatever the input. Rows of heavy terms never shuffle by term: they are added up in one fixed array of counters per
+task. Only rows of the remaining terms are shuffled by term. Both count tables are exact; the sketch only decides the
+route.
 
 Input rows may be null, blank or repeated: a null document, a null term and a term that is empty once normalised drop
 out; a row delivered twice (same document, place and term) counts once, and a null place counts as one place of its
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_term
+from ..plans.physical import written
 
 HEAVY = 32
 TRACKED = 4096
@@ -25,6 +27,13 @@ def normal_mentions(mentions: DataFrame) -> DataFrame:
     return mentions.select("doc_id", "pos", normal_term("term").alias("term")).where("doc_id IS NOT NULL AND term <> ''")
 
 
+def per_document(mentions: DataFrame) -> DataFrame:
+    """(doc_id, term, tf). One exchange: both groupings find their rows where (document, term) puts them, so neither a
+    term nor a document of a third of all rows ends in one task."""
+    rows = normal_mentions(mentions).repartition("doc_id", "term")
+    return rows.groupBy("doc_id", "term", "pos").agg(F.lit(1).alias("one")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def heavy_terms(rows: DataFrame, heavy: int = HEAVY) -> list[str]:
     """At most ``heavy`` terms that may hold over half a percent of the rows."""
     got = rows.agg(F.expr(f"approx_top_k(term, {heavy}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
@@ -32,25 +41,15 @@ def heavy_terms(rows: DataFrame, heavy: int = HEAVY) -> list[str]:
     return [x["item"] for x in (got["top"] or []) if x["count"] > floor]
 
 
-def term_frequency(mentions: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(term, corpus_count, doc_freq) for every distinct term."""
-    rows = normal_mentions(mentions)
-    top = heavy_terms(rows, heavy)
+def counted(times: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(term, corpus_count, doc_freq) from (doc_id, term, tf)."""
+    top = heavy_terms(times, heavy)
     in_top = F.col("term").isin(top) if top else F.lit(False)
-
-    def per_document(part: DataFrame, key: str) -> DataFrame:
-        return part.groupBy("doc_id", key, "pos").agg(F.lit(1).alias("one")).groupBy("doc_id", key).agg(F.count("*").alias("tf"))
-
-    light = (
-        per_document(rows.where(~in_top), "term")
-        .groupBy("term")
-        .agg(F.sum("tf").alias("corpus_count"), F.count("*").alias("doc_freq"))
-    )
+    light = times.where(~in_top).groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count("*").alias("doc_freq"))
     if not top:
         return light
     at = F.create_map(*[x for i, t in enumerate(top) for x in (F.lit(t), F.lit(i))])
-    coded = rows.where(in_top).select("doc_id", "pos", at[F.col("term")].alias("h"))
-    counters = per_document(coded, "h").agg(
+    counters = times.where(in_top).select("tf", at[F.col("term")].alias("h")).agg(
         *[F.sum(F.when(F.col("h") == i, F.col("tf"))).alias(f"n{i}") for i in range(len(top))],
         *[F.count_if(F.col("h") == i).alias(f"d{i}") for i in range(len(top))],
     )
@@ -59,8 +58,9 @@ def term_frequency(mentions: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return light.unionByName(exact)
 
 
-def documents_with_terms(mentions: DataFrame) -> int:
-    return normal_mentions(mentions).agg(F.count_distinct("doc_id")).first()[0]
+def term_frequency(mentions: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(term, corpus_count, doc_freq) for every distinct term."""
+    return counted(written(per_document(mentions)), heavy)
 
 
 def marked(mentions: DataFrame) -> DataFrame:
@@ -68,6 +68,7 @@ def marked(mentions: DataFrame) -> DataFrame:
 
     Where all documents number at most two, a term can be both; it is then rare.
     """
-    n = documents_with_terms(mentions)
+    times = written(per_document(mentions))
+    n = times.select("doc_id").distinct().count()
     mark = F.when(F.col("doc_freq") == 1, "rare").when(F.col("doc_freq") * 3 > n, "common")
-    return term_frequency(mentions).withColumn("mark", mark)
+    return counted(times).withColumn("mark", mark)
