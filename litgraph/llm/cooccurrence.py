@@ -5,6 +5,11 @@ Records become sorted arrays of distinct items. Items that no result can contain
 more arrays alike. Equal arrays collapse to one basket with a weight; pairs are enumerated once per basket and their
 weights added. An item of a third of all records is thereby never enumerated.
 
+Pairs that share partners without meeting are counted over the partners. Of each item the partner with most partners
+is spared: two items with ``min_shared`` common partners have at least one less in common among the rest, so a hub that
+most items have is never paired out. Other partners are paired in blocks of bounded size, with counts combined before
+they move; pairs that lack just one are looked up at the spared partners.
+
 Null records and items that are empty once normalised drop out, repeated rows count once, an empty table gives an
 empty result, extra columns are ignored.
 """
@@ -14,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.physical import cut
+from ..plans.physical import cut, written
 from .frequency import normal_mentions
 
 MIN_WEIGHT, LIFT, MIN_SHARED = 4, 10, 3
 #: Most items of a dictionary that is broadcast (about 100 bytes each); larger ones are joined by shuffle.
 BROADCAST_ITEMS = 100_000
+#: Partners of an item that are paired in one block
+PARTNERS = 1024
 
 
 class Baskets:
@@ -27,10 +34,12 @@ class Baskets:
 
     def __init__(self, rows: DataFrame, min_weight: int = MIN_WEIGHT, lift: float = LIFT):
         self.min_weight, self.lift = min_weight, lift
-        records = rows.groupBy("doc_id").agg(F.collect_set("term").alias("items")).where("size(items) >= 2")
-        self.records = cut(records)
-        self.n = self.records.count()
-        counted = self.records.select(F.explode("items").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        self.rows = written(rows.select("doc_id", "term").distinct())
+        # records of one item leave: their items are taken off the counts
+        sized = cut(self.rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("term").alias("only")).groupBy((F.col("k") == 1).alias("single"), F.when(F.col("k") == 1, F.col("only")).alias("term")).agg(F.count("*").alias("records")))
+        self.n = sized.where("NOT single").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+        every = self.rows.groupBy("term").agg(F.count("*").alias("c")).unionByName(sized.where("single").select("term", (-F.col("records")).alias("c")))
+        counted = every.groupBy("term").agg(F.sum("c").alias("df"))
         useful = counted.where((F.col("df") >= min_weight) & (F.col("df") * lift <= self.n))
         self.items = cut(useful.select(F.monotonically_increasing_id().alias("id"), "term", "df"))
         self.small = self.items.count() <= BROADCAST_ITEMS
@@ -41,7 +50,7 @@ class Baskets:
 
     def collapsed(self) -> DataFrame:
         """(items: sorted ids, weight: records that have just these useful items)."""
-        coded = self.records.select("doc_id", F.explode("items").alias("term")).join(self.lookup("term", "id"), "term")
+        coded = self.rows.join(self.lookup("term", "id"), "term").select("doc_id", "id")
         arrays = coded.groupBy("doc_id").agg(F.array_sort(F.collect_list("id")).alias("items"))
         return arrays.where("size(items) >= 2").groupBy("items").agg(F.count("*").alias("weight"))
 
@@ -59,6 +68,35 @@ class Baskets:
         return with_b.where(F.col("w") * F.lit(self.n) >= F.lit(self.lift) * F.col("df_a") * F.col("df_b"))
 
 
+def sharing(edges: DataFrame, least: int = MIN_SHARED, block: int = PARTNERS) -> DataFrame:
+    """(a, b), a < b, of nodes with at least ``least`` common partners in the distinct ``edges`` (a, b), a < b.
+
+    Where no node has more partners than a block, they are paired as they are.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("via")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("via")))
+    degree = ends.groupBy("node").agg(F.count("*").alias("d"))
+    if (degree.agg(F.max("d")).first()[0] or 0) <= block:
+        left, right = ends.select("via", F.col("node").alias("a")), ends.select("via", F.col("node").alias("b"))
+        return left.join(right, "via").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a", "b")
+    sized = ends.join(degree.select(F.col("node").alias("via"), F.col("d").alias("via_d")), "via")
+    spared = sized.groupBy("node").agg(F.count("*").alias("d"), F.max(F.struct("via_d", "via"))["via"].alias("hub")).where(F.col("d") >= least)
+    rest = cut(ends.join(spared.select("node", "hub"), "node").where("via <> hub"))
+    blocks = rest.groupBy("via").agg(F.count("*").alias("n")).where("n > 1").select("via", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    placed = rest.join(blocks, "via").withColumn("blk", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("via", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), "blk", "node", "hub")
+    x = met.where("blk = low").select("via", "low", "high", F.col("node").alias("x"), F.col("hub").alias("hub_x"))
+    y = met.where("blk = high").select("via", "low", "high", F.col("node").alias("y"), F.col("hub").alias("hub_y"))
+    wedges = x.join(y, ["via", "low", "high"]).where("x < y OR (low < high AND x <> y)")
+    swap = F.col("x") > F.col("y")
+    sides = wedges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("hub_y")).otherwise(F.col("hub_x")).alias("hub_a"), F.when(swap, F.col("hub_x")).otherwise(F.col("hub_y")).alias("hub_b"))
+    counts = cut(sides.groupBy("a", "b", "hub_a", "hub_b").agg(F.count("*").alias("k")).where(F.col("k") >= least - 1))
+    lacking = counts.where(F.col("k") == least - 1).select("a", "b", F.inline(F.array(F.struct(F.col("b").alias("node"), F.col("hub_a").alias("via")), F.struct(F.col("a").alias("node"), F.col("hub_b").alias("via")))))
+    # a node's own spared partner is its partner: one of the two lookups is enough
+    helped = lacking.join(ends, ["node", "via"]).select("a", "b").distinct()
+    return counts.where(F.col("k") >= least).select("a", "b").unionByName(helped)
+
+
 def in_order(df: DataFrame, *rest) -> DataFrame:
     return df.select(F.least("term_a", "term_b").alias("term_a"), F.greatest("term_a", "term_b").alias("term_b"), *rest)
 
@@ -80,11 +118,8 @@ def scored_pairs(mentions: DataFrame) -> DataFrame:
 def relations(mentions: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """(term_a, term_b, relation): ``together``, or ``bridged`` for pairs that never meet but share partners."""
     baskets = Baskets(normal_mentions(mentions))
-    pairs = cut(baskets.pairs())
+    pairs = written(baskets.pairs())
     edges = cut(baskets.together(pairs))
-    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left, right = ends.select(F.col("a").alias("via"), F.col("b").alias("a")), ends.select(F.col("a").alias("via"), "b")
-    shared = left.join(right, "via").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= min_shared)
-    apart = shared.join(pairs, ["a", "b"], "left_anti")
+    apart = sharing(edges, min_shared).join(pairs, ["a", "b"], "left_anti")
     named = apart.join(baskets.lookup(F.col("id").alias("a"), F.col("term").alias("term_a")), "a").join(baskets.lookup(F.col("id").alias("b"), F.col("term").alias("term_b")), "b")
     return in_order(edges, F.lit("together").alias("relation")).unionByName(in_order(named, F.lit("bridged").alias("relation")))

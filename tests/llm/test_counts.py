@@ -113,3 +113,27 @@ def test_sketch_agrees_with_similarity():
         a, b = set(common) | {str(r.random()) for _ in range(4)}, set(common) | {str(r.random()) for _ in range(4)}
         gaps.append(int((bits(sorted(a)) != bits(sorted(b))).sum()))
     assert abs(np.mean(gaps) - 128 * (1 - 0.6) / 2) < 2
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_shared_partners_of_hubs(spark, block):
+    """Against brute force: one partner of all, a second of most, and chance; blocks smaller than a hub."""
+    r = np.random.default_rng(3)
+    edges = {(0, v) for v in range(2, 40)} | {(1, v) for v in range(2, 40, 2)}
+    edges |= {(int(min(x)), int(max(x))) for x in r.integers(2, 40, (90, 2)) if x[0] != x[1]}
+    near = {v: {a + b - v for a, b in edges if v in (a, b)} for v in range(40)}
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if len(near[a] & near[b]) >= 3}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    got = [tuple(x) for x in cooccurrence.sharing(df, 3, block).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+    assert cooccurrence.sharing(df.limit(0)).count() == 0
+
+
+def test_a_document_and_a_term_of_a_third_of_the_rows(spark):
+    rows = [(1, k, f"t{k % 50}") for k in range(300)] + [(k, 1, "all") for k in range(300)] + [(k, 2, f"t{k % 50}") for k in range(300)]
+    df = spark.createDataFrame(rows + rows[:40], "doc_id long, pos int, term string")
+    got = {x["term"]: (x["corpus_count"], x["doc_freq"], x["mark"]) for x in frequency.marked(df).collect()}
+    want = {}
+    for d, p, t in set(rows):
+        want.setdefault(t, []).append(d)
+    assert got == {t: (len(d), len(set(d)), "common" if len(set(d)) * 3 > 300 else None) for t, d in want.items()}
