@@ -2,11 +2,14 @@
 
 Equal sets collapse to one class first. In each of ``TREES`` trees every set goes down the branches of the tokens that a
 random hash of (node, token) chooses, each with probability ``BRANCH``/size: two similar sets share a branch with a
-probability that the similarity bounds, dissimilar ones hardly ever. Nodes of at most ``SMALL`` sets are compared by
-brute force, larger ones are split again on other tokens, so a token of most records only costs further levels. Nodes
-that stay large to the last level hold sets that are alike; they are compared in blocks of bounded size, none is left
-out. Comparison starts with sizes and 128-bit one-bit minhash sketches (bound five deviations off); what passes is
-verified exactly on the sets.
+probability that the similarity bounds, dissimilar ones hardly ever. A token leads a path down only once. Nodes of at
+most ``SMALL`` sets are compared by brute force, larger ones are split again on other tokens, so a token of most records
+only costs further levels: as many as it takes, up to some log2 of the number of sets. Only node, sketch and path go
+from level to level; tokens are fetched for the sets of large nodes. A large node whose sets are alike on average, as
+their sketches tell, needs no splitting, since most of its pairs are results; it is compared in blocks of bounded size,
+as is what is large after the last level. Nothing is left out.
+Comparison starts with sizes and 128-bit one-bit minhash sketches (bound five deviations off); what passes is verified
+exactly on the sets.
 
 Within one table the pairs are of distinct classes; ``similar_papers`` adds the copies.
 Sets of fewer than ``least`` values, null and empty fields give no pair; repeated values count once; a key in several
@@ -24,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packed import ids
-from ..plans.physical import cut, spread
+from ..plans.physical import cut, spread, written
 
 THRESHOLD, LEAST = 0.6, 5
-TREES, LEVELS, SMALL = 8, 4, 48
+TREES, SMALL = 8, 48
+#: Levels beyond log2 of the number of sets
+MORE_LEVELS = 2
+#: Sets of a large node that are compared in one block, and the average similarity from which a node is not split
+ALIKE_BLOCK, ALIKE = 192, 0.5
 #: Branches chosen per set on the first level, and on later ones
 BRANCH = (3.0, 2.0)
 SKETCH_BITS = 128
@@ -42,6 +49,11 @@ FACTORS = RNG.integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2)
 OFFSETS = RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)
 
 
+#: For each tree what its first branches are drawn with
+TREE_FACTORS = RNG.integers(1, 1 << 63, TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TREE_OFFSETS = RNG.integers(0, 1 << 63, TREES, dtype=np.uint64)
+
+
 def token_hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -55,31 +67,51 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.packbits(bits.astype(np.uint8)).view(np.int64))
 
 
+def first_branches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their tokens) of the first level of all trees."""
+    mixed = codes.view(np.uint64) * TREE_FACTORS[:, None] + TREE_OFFSETS[:, None]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(29)
+    tree, token = np.nonzero((mixed >> np.uint64(24)).astype(np.float64) * len(codes) < BRANCH[0] * SCALE)
+    return mixed[tree, token].view(np.int64), codes[token]
+
+
+SETS = "field_name string, `{key}` {kind}, size int, tokens array<string>, s0 bigint, s1 bigint, codes array<bigint>, roots array<bigint>, root_codes array<bigint>"
+
+
 def set_rows(df: DataFrame, key: str, fields: list[str], values: Callable = ids, least: int = LEAST) -> DataFrame:
-    """(field_name, key, size, tokens, s0, s1) for every row and field with at least ``least`` distinct values."""
+    """(field_name, key, size, tokens, s0, s1, codes, roots, root_codes) for every row and field with at least ``least``
+    distinct values: the set, its sketch, its tokens as hashes that differ between fields, and its first branches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for field in fields:
-                at, sizes, tokens, s0, s1 = [], [], [], [], []
+                at, sizes, tokens, s0, s1, codes, roots, root_codes = [], [], [], [], [], [], [], []
+                salt = np.uint64(token_hash("\0" + field))
                 for i, packed in enumerate(batch.column(field).to_pylist()):
                     got = sorted(set(values(packed)))
                     if len(got) < least:
                         continue
-                    a, b = sketch(np.array([token_hash(t) for t in got], np.uint64))
+                    hashes = np.array([token_hash(t) for t in got], np.uint64)
+                    a, b = sketch(hashes)
+                    codes.append((hashes ^ salt).view(np.int64))
+                    nodes, chosen_codes = first_branches(codes[-1])
+                    roots.append(nodes)
+                    root_codes.append(chosen_codes)
                     at.append(i)
                     sizes.append(len(got))
                     tokens.append(got)
                     s0.append(a)
                     s1.append(b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([field] * len(at), pa.string()), batch.column(key).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())],
-                    names=["field_name", key, "size", "tokens", "s0", "s1"],
+                    [pa.array([field] * len(at), pa.string()), batch.column(key).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (codes, roots, root_codes))],
+                    names=["field_name", key, "size", "tokens", "s0", "s1", "codes", "roots", "root_codes"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
     rows = spread(df.select(key, *fields).where(F.col(key).isNotNull()), key)
-    return rows.mapInArrow(run, f"field_name string, `{key}` {kind}, size int, tokens array<string>, s0 bigint, s1 bigint")
+    return rows.mapInArrow(run, SETS.format(key=key, kind=kind))
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
@@ -88,44 +120,72 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     return one.groupBy("field_name", key).agg(F.max(F.struct("size", "cid"))["cid"].alias("cid"))
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """(a, b) of all pairs of ``sets`` (cid, field_name, size, tokens, s0, s1) at Jaccard ``threshold`` or more."""
+def chosen(branch: float):
+    """(node, path) of the branches that a set in a node goes down; ``codes`` are its tokens."""
+    left = F.array_except("codes", "path")
+    taken = F.filter(left, lambda t: F.pmod(F.xxhash64("node", t), F.lit(SCALE)) * F.greatest(F.size("codes") - F.size("path"), F.lit(1)) < F.lit(branch * SCALE))
+    return F.inline(F.transform(taken, lambda t: F.struct(F.xxhash64("node", t).alias("node"), F.array_append("path", t).alias("path"))))
+
+
+def alike_nodes(frontier: DataFrame) -> DataFrame:
+    """Nodes of the frontier whose sets agree on average in ALIKE of their values.
+
+    Of two sets of similarity J a bit of their sketches agrees with probability (1 + J) / 2; the mean over all pairs of
+    a node follows from how many of its sets have the bit.
+    """
+    ones = [F.sum(F.shiftright("s0", i).bitwiseAND(1)) / F.count("*") for i in range(32)]
+    match = sum((p * p + (1 - p) * (1 - p) for p in ones), F.lit(0.0)) / len(ones)
+    return frontier.groupBy("node").agg((2 * match - 1).alias("j")).where(F.col("j") >= ALIKE).select("node")
+
+
+def compare(groups: DataFrame, threshold: float, two_sided: bool = False) -> DataFrame:
+    """Candidate pairs of bounded groups ``m`` of structs."""
     far = int(SKETCH_BITS * (1 - threshold) / 2 + 5 * (SKETCH_BITS * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5)
-    coded = sets.select("sid", "size", "s0", "s1", F.transform("tokens", lambda t: F.xxhash64("field_name", t)).alias("codes"))
-    frontier = coded.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.xxhash64(F.lit("tree"), "node"))
-    found = []
-
-    def compare(groups: DataFrame, two_sided: bool = False) -> DataFrame:
-        """Candidate pairs of bounded groups ``m`` of structs."""
-        x = groups.select(F.posexplode("m").alias("i", "x"), "m").where("i + 1 < size(m)")
-        y = x.select("x", F.explode(F.expr("slice(m, i + 2, size(m) - i - 1)")).alias("y"))
-        ok = (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")) & (
-            F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) <= far
-        )
-        if two_sided:
-            ok &= (F.col("x.blk") != F.col("y.blk")) | F.col("x.same")
-        return y.where(ok).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-
-    for level in range(LEVELS):
-        branch = BRANCH[min(level, 1)]
-        chosen = F.filter("codes", lambda t: F.pmod(F.xxhash64("node", t), F.lit(SCALE)) * F.col("size") < F.lit(branch * SCALE))
-        nodes = frontier.select("sid", "size", "s0", "s1", "codes", F.explode(chosen).alias("t"), "node").withColumn("node", F.xxhash64("node", "t")).drop("t")
-        counts = nodes.groupBy("node").agg(F.count("*").alias("n"))
-        large = cut(counts.where(F.col("n") > SMALL))
+    x = groups.select(F.posexplode("m").alias("i", "x"), "m").where("i + 1 < size(m)")
+    y = x.select("x", F.explode(F.expr("slice(m, i + 2, size(m) - i - 1)")).alias("y"))
+    ok = (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")) & (
+        F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) <= far
+    )
+    if two_sided:
+        ok &= (F.col("x.blk") != F.col("y.blk")) | F.col("x.same")
+    return y.where(ok).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+
+
+def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of nodes of any size ``n``: blocks of sets within a node, every block against every block."""
+    blocks = rows.withColumn("k", F.ceil(F.col("n") / ALIKE_BLOCK)).withColumn("blk", F.pmod(F.xxhash64("sid", "node"), F.col("k")))
+    meet = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    keyed = meet.select("node", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), F.struct("sid", "size", "s0", "s1", "blk", (F.col("blk") == F.col("other")).alias("same")).alias("r"))
+    return compare(keyed.groupBy("node", "lo", "hi").agg(F.collect_list("r").alias("m")).where("size(m) > 1"), threshold, two_sided=True)
+
+
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of all pairs of ``sets`` (as of ``distinct_sets``) at Jaccard ``threshold`` or more."""
+    levels = max(2, sets.count().bit_length() + MORE_LEVELS)
+    found, frontier = [], None
+    for level in range(levels):
+        if frontier is None:
+            nodes = sets.select("sid", "size", "s0", "s1", F.inline(F.arrays_zip(F.col("roots").alias("node"), F.transform("root_codes", lambda t: F.array(t)).alias("path"))))
+        else:
+            nodes = written(frontier.join(sets.select("sid", "codes"), "sid").select("sid", "size", "s0", "s1", chosen(BRANCH[1])))
+        large = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
         many = large.count()
         listed = F.broadcast(large) if many <= BROADCAST_NODES else large
         small = nodes.join(listed, "node", "left_anti") if many else nodes
-        groups = small.groupBy("node").agg(F.collect_list(F.struct("sid", "size", "s0", "s1")).alias("m")).where("size(m) > 1")
-        found.append(compare(groups))
+        found.append(compare(small.groupBy("node").agg(F.collect_list(F.struct("sid", "size", "s0", "s1")).alias("m")).where("size(m) > 1"), threshold))
         if not many:
             break
-        frontier = cut(nodes.join(listed, "node"))
+        frontier = written(nodes.join(listed, "node"))
+        if not level:
+            continue  # what shares one token is hardly alike
+        alike = cut(alike_nodes(frontier))
+        if not alike.isEmpty():
+            found.append(in_blocks(frontier.join(alike, "node", "left_semi"), threshold))
+            frontier = frontier.join(alike, "node", "left_anti")
+            if frontier.isEmpty():
+                break
     else:
-        # what no tree could split: blocks of SMALL sets within a node, every block against every block
-        blocks = frontier.withColumn("k", F.ceil(F.col("n") / SMALL)).withColumn("blk", F.pmod(F.xxhash64("sid", "node"), F.col("k")))
-        meet = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-        keyed = meet.select("node", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), F.struct("sid", "size", "s0", "s1", "blk", (F.col("blk") == F.col("other")).alias("same")).alias("r"))
-        found.append(compare(keyed.groupBy("node", "lo", "hi").agg(F.collect_list("r").alias("m")).where("size(m) > 1"), two_sided=True))
+        found.append(in_blocks(frontier, threshold))
 
     candidates = found[0]
     for more in found[1:]:
@@ -140,28 +200,31 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
+    """One row per class, numbered."""
     cid = F.sha2(F.concat_ws("\0", "field_name", "tokens"), 256)
-    one = rows.withColumn("cid", cid).groupBy("cid").agg(*(F.any_value(c).alias(c) for c in ("field_name", "size", "tokens", "s0", "s1")))
-    return cut(one.withColumn("sid", F.monotonically_increasing_id()))
+    one = rows.withColumn("cid", cid).groupBy("cid").agg(*(F.any_value(c).alias(c) for c in ("field_name", "size", "tokens", "s0", "s1", "codes", "roots", "root_codes")))
+    return written(one.withColumn("sid", F.monotonically_increasing_id()))
 
 
-def similar_papers(papers: DataFrame, key: str = "pmid", fields: tuple = ("refs", "cited_by"), values: Callable = ids) -> DataFrame:
+def similar_papers(papers: DataFrame, key: str = "pmid", fields: tuple = ("refs", "cited_by"), values: Callable = ids, copies: int | None = COPIES) -> DataFrame:
     """(field_name, pmid_a, pmid_b) of all papers whose sets in one field are similar.
 
-    Copies of one set: all their pairs up to ``COPIES`` of them; of larger classes each member comes with the smallest
-    key of its class, which stands for it in pairs with other classes.
+    Of copies of one set all pairs come up to ``copies`` of them (None: always, m * (m - 1) / 2 rows for m copies). Of a
+    larger class of m each other member comes with the smallest key: m - 1 rows. That key stands for all m in
+    pairs with other classes, so one row there stands for m (or m * m') pairs; ``paper_classes`` has the members.
     """
-    rows = set_rows(papers, key, list(fields), values)
+    rows = written(set_rows(papers, key, list(fields), values))
     members = classes(rows, key)
     sized = members.groupBy("cid").agg(F.count("*").alias("copies"), F.min(key).alias("first"))
     members = cut(members.join(sized, "cid").withColumnRenamed(key, "k"))
     pairs = similar_sets(distinct_sets(rows))
-    speak = members.where((F.col("copies") <= COPIES) | (F.col("k") == F.col("first"))).select("cid", "field_name", "k")
+    few = F.lit(True) if copies is None else F.col("copies") <= copies
+    speak = members.where(few | (F.col("k") == F.col("first"))).select("cid", "field_name", "k")
     across = pairs.join(speak.select(F.col("cid").alias("a"), "field_name", F.col("k").alias("ka")), "a").join(speak.select(F.col("cid").alias("b"), F.col("k").alias("kb")), "b")
-    few = members.where((F.col("copies") > 1) & (F.col("copies") <= COPIES)).select("cid", "field_name", "k")
-    copies = few.select("cid", "field_name", F.col("k").alias("ka")).join(few.select("cid", F.col("k").alias("kb")), "cid").where("ka < kb")
-    many = members.where((F.col("copies") > COPIES) & (F.col("k") != F.col("first"))).select("field_name", F.col("first").alias("ka"), F.col("k").alias("kb"))
-    out = across.select("field_name", "ka", "kb").unionByName(copies.select("field_name", "ka", "kb")).unionByName(many)
+    same = members.where((F.col("copies") > 1) & few).select("cid", "field_name", "k")
+    alike = same.select("cid", "field_name", F.col("k").alias("ka")).join(same.select("cid", F.col("k").alias("kb")), "cid").where("ka < kb")
+    many = members.where(~few & (F.col("k") != F.col("first"))).select("field_name", F.col("first").alias("ka"), F.col("k").alias("kb"))
+    out = across.select("field_name", "ka", "kb").unionByName(alike.select("field_name", "ka", "kb")).unionByName(many)
     return out.select("field_name", F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
 
 

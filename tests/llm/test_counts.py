@@ -137,3 +137,28 @@ def test_a_document_and_a_term_of_a_third_of_the_rows(spark):
     for d, p, t in set(rows):
         want.setdefault(t, []).append(d)
     assert got == {t: (len(d), len(set(d)), "common" if len(set(d)) * 3 > 300 else None) for t, d in want.items()}
+
+
+def test_sets_with_three_tokens_of_all_and_a_large_cluster(spark, monkeypatch):
+    """Small nodes, so that levels go deep: hot tokens are split away, a cluster of like sets is compared in blocks."""
+    monkeypatch.setattr(setjoin, "SMALL", 6)
+    monkeypatch.setattr(setjoin, "ALIKE_BLOCK", 10)
+    r = random.Random(11)
+    hot = ["1", "2", "3"]
+    rows = [hot + [str(r.randint(1000, 99999)) for _ in range(r.randint(6, 20))] for _ in range(300)]
+    for _ in range(20):
+        base = r.choice(rows)
+        rows.append(base[:-1] + [str(r.randint(1000, 99999))])
+    core = [str(i) for i in range(200, 230)]
+    rows += [hot + r.sample(core, 27) for _ in range(90)]
+    df = spark.createDataFrame([(f"{k:08d}", " ".join(v), None) for k, v in enumerate(rows)], "pmid string, refs string, cited_by string")
+    sets = [set(v) for v in rows]
+    want = {(f"{a:08d}", f"{b:08d}") for a, b in itertools.combinations(range(len(sets)), 2) if jaccard(sets[a], sets[b]) >= 0.6}
+    got = {(x["pmid_a"], x["pmid_b"]) for x in setjoin.similar_papers(df).collect()}
+    assert not got - want and len(got) >= 0.99 * len(want)
+
+
+def test_copies_in_all_pairs(spark):
+    df = spark.createDataFrame([(f"{k:03d}", "1 2 3 4 5", "") for k in range(70)] + [("999", "1 2 3 4 5 6", "")], "pmid string, refs string, cited_by string")
+    assert setjoin.similar_papers(df).count() == 69 + 1
+    assert setjoin.similar_papers(df, copies=None).count() == 70 * 69 // 2 + 70
