@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.physical import cut, written
+from .blocks import pairs_within
 from .frequency import normal_mentions
 
 MIN_WEIGHT, LIFT, MIN_SHARED = 4, 10, 3
@@ -81,15 +82,9 @@ def sharing(edges: DataFrame, least: int = MIN_SHARED, block: int = PARTNERS) ->
     sized = ends.join(degree.select(F.col("node").alias("via"), F.col("d").alias("via_d")), "via")
     spared = sized.groupBy("node").agg(F.count("*").alias("d"), F.max(F.struct("via_d", "via"))["via"].alias("hub")).where(F.col("d") >= least)
     rest = cut(ends.join(spared.select("node", "hub"), "node").where("via <> hub"))
-    blocks = rest.groupBy("via").agg(F.count("*").alias("n")).where("n > 1").select("via", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    placed = rest.join(blocks, "via").withColumn("blk", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met = met.select("via", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), "blk", "node", "hub")
-    x = met.where("blk = low").select("via", "low", "high", F.col("node").alias("x"), F.col("hub").alias("hub_x"))
-    y = met.where("blk = high").select("via", "low", "high", F.col("node").alias("y"), F.col("hub").alias("hub_y"))
-    wedges = x.join(y, ["via", "low", "high"]).where("x < y OR (low < high AND x <> y)")
-    swap = F.col("x") > F.col("y")
-    sides = wedges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("hub_y")).otherwise(F.col("hub_x")).alias("hub_a"), F.when(swap, F.col("hub_x")).otherwise(F.col("hub_y")).alias("hub_b"))
+    wedges = pairs_within(rest, ["via"], "node", block)
+    swap = F.col("node_x") > F.col("node_y")
+    sides = wedges.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.when(swap, F.col("hub_y")).otherwise(F.col("hub_x")).alias("hub_a"), F.when(swap, F.col("hub_x")).otherwise(F.col("hub_y")).alias("hub_b"))
     counts = cut(sides.groupBy("a", "b", "hub_a", "hub_b").agg(F.count("*").alias("k")).where(F.col("k") >= least - 1))
     lacking = counts.where(F.col("k") == least - 1).select("a", "b", F.inline(F.array(F.struct(F.col("b").alias("node"), F.col("hub_a").alias("via")), F.struct(F.col("a").alias("node"), F.col("hub_b").alias("via")))))
     # a node's own spared partner is its partner: one of the two lookups is enough

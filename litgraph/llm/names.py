@@ -5,10 +5,12 @@
    the evidence, at most 1/SHARE, are a list; all rarer ones stay a table: it decides the order of words that the list
    doesn't (``turned``). Nicknames are learned from names that quote them.
 2. Candidates: prefix-filtered set-similarity join on q-grams of the family name. Grams are ordered from rare to common
-   over all rows, and only the first few of a name are joined, together with institution and initial. Names without an
-   affiliation are joined by longer grams against all.
-3. Verification: soft weighted token similarity. Tokens are compared by edit distance and weighted by rarity; the same
-   slip counts against a pair where both spellings are common, as then they are two names, not one misspelt.
+   over all rows, and only the first few of a name are joined, together with institution and initial: as many as the
+   slips can take, and one more. Names without an affiliation are joined by longer grams against all. Grams of many
+   names are joined block against block.
+3. Verification: soft weighted token similarity over family name, institution and initial. What agrees counts by
+   rarity, so rare tokens carry a pair over more of a slip; what doesn't counts alike for all names. Two spellings both
+   in wide use are two names, not one misspelt.
 4. Each spelling goes to the most frequent one it matches. Given names that are not on the list are compared within a
    family and institution (``called``). Given names make persons, and bare initials go to the one person they fit.
 
@@ -29,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.physical import cut, spread
+from ..plans.physical import cut, spread, written
+from .blocks import pairs_within
 
 SHARE = 0.002
 BLOCK = 256
-#: Lost grams that the join survives: one slip of any kind in short names, two in names of LONG letters or more
-LONG, LOST_SHORT, LOST_LONG = 8, 3, 5
-#: Grams for names without an affiliation, and those that one slip may take
-WIDE_GRAM, WIDE_LOST = 5, 6
+#: Letters from which a name may have two slips, else one. A slip, of two letters turned at worst, takes one gram more
+#: than a gram has letters
+LONG, GRAM, WIDE_GRAM = 8, 2, 5
 #: A spelling used at COMMON institutions or more, and at one to OFTEN of the other's or more, is a name of its own
 COMMON, OFTEN = 3, 5
-SIMILAR = 0.8
+SIMILAR = 0.85
 
 #: Titles, particles of family names, short forms in affiliations, usual nicknames.
 TITLES = re.compile(r"\b(?:dr|prof|mr|mrs|ms)\b\.?\s*", re.I)
@@ -186,6 +188,11 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def cropped(s: str) -> set[str]:
+    """``s``, and ``s`` without one of its letters: strings one slip apart have one of these in common."""
+    return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+
+
 class Vocabulary:
     """Given names as spelled (``plain``), and nicknames with the names they stand for. Names are compared squeezed."""
 
@@ -195,6 +202,11 @@ class Vocabulary:
         pairs = {**NICKNAMES, **nicknames}.items()
         self.nicknames = {squeeze(n): squeeze(g) for n, g in pairs if squeeze(n) not in self.given or squeeze(g) in self.given}
         self.known = sorted({*given, *(n for n, g in pairs if squeeze(g) in self.given)})
+        #: known names, plain and squeezed, by what is left without one letter or none
+        self.cropped: dict[str, set[str]] = {}
+        for n in self.known:
+            for part in cropped(n) | cropped(squeeze(n)):
+                self.cropped.setdefault(part, set()).add(n)
         self.cache: dict[str, tuple[str, int]] = {}
         self.starts: dict[str, set[str]] = {}
         for n, g in self.nicknames.items():
@@ -209,7 +221,8 @@ class Vocabulary:
             return key, 3
         got = self.cache.get(token)
         if got is None:
-            near = [squeeze(n) for n in self.known if distance(token, n, 1) == 1 or distance(key, squeeze(n), 1) == 1] if len(token) > 3 else []
+            close = set().union(*(self.cropped.get(part, ()) for part in cropped(token) | cropped(key))) if len(token) > 3 else ()
+            near = [squeeze(n) for n in close if distance(token, n, 1) == 1 or distance(key, squeeze(n), 1) == 1]
             near.sort(key=lambda n: (n not in self.given, n[:1] != token[:1], n))
             got = (self.nicknames.get(near[0], near[0]), 1) if near else (key, 0)
             if len(self.cache) < 1 << 17:
@@ -389,8 +402,10 @@ def grams(size: int):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(pad) - (size - 1))), lambda i: F.substring(pad, i, F.lit(size))))
 
 
-def prefixes(spellings: DataFrame, size: int, lost) -> DataFrame:
-    """spellings with the rarest grams of each family: one row per gram. Rarity is counted over all spellings."""
+def prefixes(spellings: DataFrame, size: int) -> DataFrame:
+    """spellings with the rarest grams of each family, one row per gram: one more than the slips it may have can take.
+    Rarity is counted over all spellings."""
+    lost = F.when(F.char_length("family") >= LONG, 2 * (size + 1)).otherwise(size + 1)
     families = spellings.select("family").distinct().withColumn("gram", F.explode(grams(size)))
     rarity = families.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = families.join(rarity, "gram").groupBy("family").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), F.lit(1), lost + 1).alias("g"))
@@ -400,27 +415,32 @@ def prefixes(spellings: DataFrame, size: int, lost) -> DataFrame:
 def verified(pairs: DataFrame, total: int) -> DataFrame:
     """(inst_a, family_a, inst_b, family_b) of the candidate pairs that are similar enough.
 
-    Soft similarity of two names whose institution and initial already agree: each of the two agreeing tokens and the
-    family name count by rarity ln(1 + total / uses), and the family name agrees to the share 1 - edits / length. Two
-    spellings both in wide use are two names.
+    A token weighs ln(1 + total / uses); a family name that of its commoner spelling. ``agreed`` is the weight of
+    institution and initial, which agree. Family names agree to the share 1 - edits / length, and the share they
+    disagree in counts with the weight of a token used once, however common the name. Two spellings both in wide use
+    are two names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (a, b, ua, ub) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family_a", "family_b", "uses_a", "uses_b")))):
+            for i, (a, b, ua, ub, agreed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family_a", "family_b", "uses_a", "uses_b", "agreed")))):
                 shorter = min(len(a), len(b))
                 most = 2 if shorter >= LONG else 1
                 d = distance(a, b, most)
                 if d > most or (d and shorter < 4) or (d and min(ua, ub) >= max(COMMON, max(ua, ub) / OFTEN)):
                     continue
-                family, rest = log1p(total / max(ua, ub)), log1p(1)
-                agree = 1 - d / max(len(a), len(b))
-                if (family * agree + rest) / (family + rest) >= SIMILAR:
+                share = 1 - d / max(len(a), len(b))
+                for_it, against = log1p(total / max(ua, ub)) * share + agreed, log1p(total) * (1 - share)
+                if for_it >= SIMILAR * (for_it + against):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["inst_a", "family_a", "inst_b", "family_b"])
 
-    return pairs.select("inst_a", "family_a", "inst_b", "family_b", "uses_a", "uses_b").distinct().mapInArrow(run, "inst_a string, family_a string, inst_b string, family_b string")
+    # two letters turned are two edits here; the bound spares Python most candidates
+    edits = F.levenshtein("family_a", "family_b", 4)
+    allowed = F.when(F.least(F.char_length("family_a"), F.char_length("family_b")) >= LONG, 4).otherwise(2)
+    one = pairs.where((edits >= 0) & (edits <= allowed)).groupBy("inst_a", "family_a", "inst_b", "family_b", "uses_a", "uses_b").agg(F.max("agreed").alias("agreed"))
+    return one.mapInArrow(run, "inst_a string, family_a string, inst_b string, family_b string")
 
 
 def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name", affiliation: str = "affiliation") -> DataFrame:
@@ -440,16 +460,25 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
     spelled = cut(forms.groupBy("inst", "family").agg(F.sum("n").alias("n")))
     uses = spelled.groupBy("family").agg(F.count("*").alias("uses"))
     total = spelled.count()
-    spelled = cut(spelled.join(uses, "family"))
-    starting = forms.select("inst", "family", F.explode(F.split("letters", "")).alias("letter")).where("letter <> ''").distinct()
-    size = F.when(F.char_length("family") >= LONG, LOST_LONG).otherwise(LOST_SHORT)
-    keyed = prefixes(starting.where("inst <> ''").join(spelled, ["inst", "family"]), 2, size)
-    x, y = (keyed.select("inst", "letter", "gram", F.col("family").alias(f"family_{s}"), F.col("uses").alias(f"uses_{s}")) for s in "ab")
-    near = x.join(y, ["inst", "letter", "gram"]).where("family_a < family_b").select(F.col("inst").alias("inst_a"), F.col("inst").alias("inst_b"), "family_a", "family_b", "uses_a", "uses_b")
-    # without an affiliation: against all
-    wide = prefixes(spelled, WIDE_GRAM, F.lit(WIDE_LOST))
-    u, v = (wide.select("gram", F.col("inst").alias(f"inst_{s}"), F.col("family").alias(f"family_{s}"), F.col("uses").alias(f"uses_{s}")) for s in "ab")
-    apart = u.where("inst_a = ''").join(v, "gram").where("inst_b <> '' OR family_a <> family_b").drop("gram")
+    weight = lambda uses: F.log1p(F.lit(total) / uses)
+    # rarity of an institution: by the names there; where it is unknown, that of all names on average
+    homes = spelled.groupBy("inst").agg(weight(F.count("*")).alias("w"))
+    usual = log1p(spelled.select("inst").distinct().count())
+    homes = homes.select("inst", F.when(F.col("inst") == "", usual).otherwise(F.col("w")).alias("home"))
+    spelled = cut(spelled.join(uses, "family").join(homes, "inst"))
+    starting = cut(forms.select("inst", "family", F.explode(F.split("letters", "")).alias("letter")).where("letter <> ''").distinct())
+    initial = starting.groupBy("letter").agg(weight(F.count("*")).alias("first"))
+    keyed = prefixes(starting.where("inst <> ''").join(spelled, ["inst", "family"]).join(initial, "letter"), GRAM)
+    keyed = written(keyed.select("inst", "letter", "gram", "family", "uses", (F.col("home") + F.col("first")).alias("agreed")))
+    near = pairs_within(keyed, ["inst", "letter", "gram"], "family", BLOCK)
+    near = near.select(F.col("inst").alias("inst_a"), F.col("inst").alias("inst_b"), F.col("family_x").alias("family_a"), F.col("family_y").alias("family_b"), F.col("uses_x").alias("uses_a"), F.col("uses_y").alias("uses_b"), F.col("agreed_x").alias("agreed"))
+    # without an affiliation: against all, a gram's names in blocks
+    wide = written(prefixes(spelled, WIDE_GRAM).select("gram", "inst", "family", "uses", "home"))
+    blocks = wide.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.count_if(F.col("inst") == "").alias("open")).where("open > 0").select("gram", "k")
+    placed = wide.join(blocks, "gram")
+    u = placed.where("inst = ''").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    u, v = (df.select("gram", "blk", F.col("inst").alias(f"inst_{s}"), F.col("family").alias(f"family_{s}"), F.col("uses").alias(f"uses_{s}"), F.col("home").alias(f"home_{s}")) for s, df in (("a", u), ("b", placed.withColumn("blk", F.pmod(F.xxhash64("inst", "family"), "k").cast("int")))))
+    apart = u.join(v, ["gram", "blk"]).where("inst_b <> '' OR family_a <> family_b").withColumn("agreed", F.greatest("home_a", "home_b"))
     edges = verified(near.unionByName(apart.select(*near.columns)), total)
 
     # every spelling goes to the commonest it matches, twice, since a slip of a slip matches only the first
@@ -509,12 +538,5 @@ def paper_authors(authors: DataFrame, papers: DataFrame, bylines: DataFrame) ->
 def same_person(bylines: DataFrame, key: str = "byline_id") -> DataFrame:
     """(byline_a, byline_b) of rows that name one person."""
     rows = cut(persons(bylines, key))
-    sized = rows.groupBy("person").agg(F.count("*").alias("n")).where("n > 1").select("person", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    known = rows.join(sized, "person").withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int"))
-    # a row goes to every pair of blocks with its own, so no join key holds more than two blocks
-    met = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("person", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col(key).alias("row"))
-    x = met.where("block = low").select("person", "low", "high", F.col("row").alias("x"))
-    y = met.where("block = high").select("person", "low", "high", F.col("row").alias("y"))
-    pairs = x.join(y, ["person", "low", "high"]).where("x < y OR (low < high AND x <> y)")
-    return pairs.select(F.least("x", "y").alias("byline_a"), F.greatest("x", "y").alias("byline_b"))
+    pairs = pairs_within(rows, ["person"], key, BLOCK)
+    return pairs.select(F.least(f"{key}_x", f"{key}_y").alias("byline_a"), F.greatest(f"{key}_x", f"{key}_y").alias("byline_b"))

@@ -258,3 +258,43 @@ def test_every_script_is_restored(text, page):
 @pytest.mark.parametrize("text", ["«Чі» та «ВЧ» – ІНСТИТУТ»", "ИССЛЕДОВАНИЕ «РОШ»…", "≈±5 – á, ƒ° and —É"])
 def test_sound_scripts_stay(text):
     assert encoding.restore(text) == (text, False)
+
+
+def test_recall_of_variants(spark):
+    """Held-out accuracy: invented people, each spelled in many ways, with slips and nulls; no list holds their names."""
+    r = random.Random(21)
+    letters = lambda n: "".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(n))
+    given = [letters(3).title() for _ in range(60)]
+    rows, who, k = [], {}, 0
+    for person in range(250):
+        family, first = letters(r.randint(3, 6)).title(), r.choice(given)
+        place = f"Univ. of {letters(4).title()}"
+
+        def slip(s):
+            i = r.randrange(1, len(s) - 1)
+            return r.choice((s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:]))
+
+        forms = [f"{family}, {first}"] * 3 + [f"{first} {family}", f"{first[0]}. {family}", f"{family} {first[0]}", f"{family.upper()} {first}", f"{slip(family)}, {first}"]
+        for j, form in enumerate(forms):
+            rows.append((k, form, None if j == 1 else place if j % 2 else place.replace("Univ.", "University")))
+            who[k] = person
+            k += 1
+    r.shuffle(rows)
+    got = {tuple(x) for x in names.same_person(spark.createDataFrame(rows, "byline_id long, author_name string, affiliation string")).collect()}
+    want = {(a, b) for a in who for b in range(a + 1, a // 8 * 8 + 8) if who[a] == who[b]}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_pairs_of_blocks(spark, block):
+    from litgraph.llm.blocks import pairs_within
+
+    df = spark.createDataFrame([(k % 2, k) for k in range(21)] + [(7, 99)], "key int, item long")
+    got = [frozenset((x["item_x"], x["item_y"])) for x in pairs_within(df, ["key"], "item", block).collect()]
+    assert len(got) == len(set(got)) == 11 * 10 // 2 + 10 * 9 // 2 and all(len(p) == 2 for p in got)
+
+
+def test_near_given_names_by_their_cropped_forms():
+    v = names.Vocabulary(["robert", "ingrid", "noemie"], {"ringo": "ingrid"})
+    assert v.canonical("robret") == ("robert", 1) and v.canonical("inrid") == ("ingrid", 1) and v.canonical("ringoo") == ("ingrid", 1)
+    assert v.canonical("bob") == ("robert", 2) and v.canonical("zzzz") == ("zzzz", 0)
