@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.text import pmid_of
 from . import graph
-from .packed import ids, names, split_packed
+from .packed import ids, names, split_arrays
 
 PAPER_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 
@@ -30,18 +30,13 @@ def unique_names(names_: Column) -> Column:
 
 
 def records(papers: DataFrame) -> DataFrame:
-    """Citation records from packed fields, the last one of each pmid. Lists come from the tokenizer of ``packed``."""
-    last = papers.where("pmid IS NOT NULL").groupBy("pmid").agg(F.max_by(F.struct("rec_id", "title", "pub_year", "journal", "citation_count", "authors", "refs", "cited_by"), "rec_id").alias("r")).select("pmid", "r.*")
-    split = split_packed(last, "rec_id", {"authors": names, "refs": ids, "cited_by": ids})
-    listed = split.groupBy("rec_id").agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("field_name") == f, F.struct("pos", "item_value")))), lambda x: x["item_value"]).alias(f) for f in ("authors", "refs", "cited_by")]
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        last.drop("authors", "refs", "cited_by")
-        .join(listed, "rec_id", "left")
-        .select("pmid", F.col("rec_id").alias("doc_seq"), "title", F.col("pub_year").alias("year"), "journal", "citation_count", *[F.coalesce(c, empty).alias(c) for c in ("authors", "refs", "cited_by")])
-    )
+    """Citation records from packed fields, the last one of each pmid. Lists come from the tokenizer of ``packed``.
+
+    Only ids move to find pmids that come again; the fields are split where they are read.
+    """
+    columns = ["rec_id", "pmid", "title", "pub_year", "journal", "citation_count"]
+    lists = split_arrays(graph.last_wins(papers.where("pmid IS NOT NULL"), "pmid", "rec_id"), columns, {"authors": names, "refs": ids, "cited_by": ids})
+    return lists.select("pmid", F.col("rec_id").alias("doc_seq"), "title", F.col("pub_year").alias("year"), "journal", "citation_count", "authors", "refs", "cited_by")
 
 
 def corpus(docs: DataFrame) -> DataFrame:
@@ -50,16 +45,24 @@ def corpus(docs: DataFrame) -> DataFrame:
     return graph.first_wins(known, "pmid", "doc_seq")
 
 
+def reported(recs: DataFrame) -> DataFrame:
+    """(citer, cited): both lists in one direction, as they are reported, without links of a paper to itself."""
+    none = F.array().cast("array<struct<citer:string,cited:string>>")
+    end = lambda citer, cited: F.struct(citer.alias("citer"), cited.alias("cited"))
+    out = F.transform("refs", lambda x: end(F.col("pmid"), x))
+    back = F.transform("cited_by", lambda x: end(x, F.col("pmid")))
+    return recs.select(F.inline(F.concat(F.coalesce(out, none), F.coalesce(back, none)))).where("citer <> cited")
+
+
 def links(recs: DataFrame) -> DataFrame:
-    """(citer, cited): both lists in one direction, distinct, without links of a paper to itself."""
-    out = recs.select(F.col("pmid").alias("citer"), F.explode("refs").alias("cited"))
-    back = recs.select(F.explode("cited_by").alias("citer"), F.col("pmid").alias("cited"))
-    return out.unionByName(back).where("citer <> cited").distinct()
+    """(citer, cited): distinct links."""
+    return reported(recs).distinct()
 
 
 def paper_edges(recs: DataFrame, papers: DataFrame) -> DataFrame:
-    """Links with both ends in the corpus. ``papers`` has one row per pmid."""
-    return graph.induced(links(recs), papers, key="pmid")
+    """Links with both ends in the corpus. ``papers`` has one row per pmid. Links out of it leave before the rest is
+    made distinct."""
+    return graph.induced(reported(recs), papers, key="pmid").distinct()
 
 
 def paper_nodes(papers: DataFrame, recs: DataFrame, edges: DataFrame) -> DataFrame:

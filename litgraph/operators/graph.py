@@ -51,12 +51,30 @@ def k_core(nodes: DataFrame, edges: DataFrame, k: int, src: str = "citer", dst:
     return nodes.join(left, nodes[key] == left["__node"], "left_semi"), alive, rounds
 
 
-def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
+def first_wins(df: DataFrame, key: str, *order) -> DataFrame:
     """One row per key: the first by ``order``."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("__n", first).where("__n = 1").drop("__n")
 
 
+#: Keys that come more than once, up to which they are broadcast (about 30 bytes each)
+BROADCAST_KEYS = 500_000
+
+
+def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key: the last by ``order``. Only keys that come more than once are grouped, as long as they can be
+    broadcast; null keys drop out."""
+    rows = df.where(F.col(key).isNotNull())
+    again = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    n = again.count()
+    if not n:
+        return rows
+    if n > BROADCAST_KEYS:
+        return first_wins(rows, key, F.desc(order))
+    some = first_wins(rows.join(F.broadcast(again), key, "left_semi"), key, F.desc(order))
+    return rows.join(F.broadcast(again), key, "left_anti").unionByName(some)
+
+
 def bfs(seeds: DataFrame, links: DataFrame, rounds: int, max_records: int | None = None) -> DataFrame:
     """(id, round, ord): ids reached from ``seeds`` (id, ord) over ``links`` (id, other[, pos]).
 

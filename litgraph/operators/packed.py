@@ -33,25 +33,26 @@ def unescape(lexeme: str) -> str:
     return ESCAPES.get(lexeme[1], lexeme[1])
 
 
-def closes(text: str, start: int, quote: str, delimiters: frozenset) -> bool:
-    """Whether the quote opened at ``start`` is closed before a delimiter, a closing bracket or the end."""
-    i, n = start + 1, len(text)
+def last_closer(text: str, start: int, quote: str, delimiters: frozenset) -> int:
+    """Last place after ``start`` where a ``quote`` can close: before a delimiter, a closing bracket, a colon, a comma or
+    the end. -1 if there is none."""
+    last, i, n = -1, start + 1, len(text)
     while i < n:
         c = text[i]
         if c == "\\":
             i += 2
             continue
         if c == quote:
-            if text[i + 1 : i + 2] == quote and quote == '"':
+            if quote == '"' and text[i + 1 : i + 2] == quote:
                 i += 2
                 continue
             j = i + 1
             while j < n and text[j] == " ":
                 j += 1
             if j == n or text[j] in delimiters or text[j] in "]}:,":
-                return True
+                last = i
         i += 1
-    return False
+    return last
 
 
 def scan(text: str, delimiters: frozenset) -> list[tuple[str, bool]]:
@@ -59,6 +60,7 @@ def scan(text: str, delimiters: frozenset) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     buf: list[str] = []
     quote, quoted, depth = "", False, 0
+    last: dict[str, int] = {}  # of each quote, found once
     nested = text.lstrip()[:1] in ("[", "{")
 
     def end() -> None:
@@ -86,8 +88,7 @@ def scan(text: str, delimiters: frozenset) -> list[tuple[str, bool]]:
                     buf.append('"')
             else:
                 buf.append(x)
-        elif c in "\"'" and not "".join(buf).strip() and not quoted and (x == '""' or closes(text, m.start(), c, delimiters)):
-            buf.clear()
+        elif c in "\"'" and not buf and not quoted and (x == '""' or m.start() < (last[c] if c in last else last.setdefault(c, last_closer(text, m.start(), c, delimiters)))):
             quoted = True
             quote = "" if x == '""' else c
         elif nested and c in "[{":
@@ -102,7 +103,7 @@ def scan(text: str, delimiters: frozenset) -> list[tuple[str, bool]]:
             end()
         elif c == "\\" and len(x) > 1:
             buf.append(unescape(x))
-        elif not (quoted and c.isspace()):
+        elif not (c.isspace() and (quoted or not buf)):
             buf.append(x)
     end()
     return out
@@ -197,6 +198,20 @@ def split_packed(df: DataFrame, key: str, splitters: dict[str, Callable[[str | N
     return slim.mapInArrow(run, f"`{key}` {kind.simpleString()}, field_name string, pos int, item_value string")
 
 
+def split_arrays(df: DataFrame, keep: list[str], splitters: dict[str, Callable[[str | None], list[str]]]) -> DataFrame:
+    """The columns ``keep`` and, for every column of ``splitters``, the array of its values. Narrow like the above."""
+    columns = [*keep, *splitters]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [pa.array([f(text) for text in batch.column(c).to_pylist()], pa.list_(pa.string())) for c, f in splitters.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=columns)
+
+    slim = spread(df.select(*columns), keep[0])
+    kinds = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` array<string>" for c in splitters]
+    return slim.mapInArrow(run, ", ".join(kinds))
+
+
 PAPER_FIELDS = {"authors": names, "refs": ids, "cited_by": ids}
 
 

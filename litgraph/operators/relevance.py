@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..plans.physical import cut
+from ..plans.physical import cut, place_within
 
 
 def negatives(n: Column, cfg: Config) -> Column:
@@ -22,13 +22,10 @@ def negatives(n: Column, cfg: Config) -> Column:
 
 
 def tail(scores: DataFrame, cfg: Config) -> DataFrame:
-    """(pool, id) of each pool's negatives: the worst scores, ties by ``ord``.
-
-    Ranks are taken per pool over (score, ord) only. A pool is one set of candidates of one review.
-    """
-    n = F.count("*").over(Window.partitionBy("pool"))
-    at = F.row_number().over(Window.partitionBy("pool").orderBy("score", "ord"))
-    return scores.withColumn("n", n).withColumn("at", at).where(F.col("at") <= negatives(F.col("n"), cfg)).select("pool", "id")
+    """(pool, id) of each pool's negatives: the worst scores, ties by ``ord``. Pools may be of any size."""
+    sizes = scores.groupBy("pool").agg(F.count("*").alias("n")).select("pool", negatives(F.col("n"), cfg).alias("worst")).where("worst > 0")
+    at = place_within(scores.select("pool", "id", "ord", "score").join(sizes, "pool"), "pool", [F.col("score"), F.col("ord")], "at")
+    return at.where("at <= worst").select("pool", "id")
 
 
 def unit_terms(weights: DataFrame) -> DataFrame:
@@ -64,10 +61,14 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it: also within lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def unit(v: str | Column) -> Column:
     v = F.col(v) if isinstance(v, str) else v
-    length = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-9))
-    return F.transform(v, lambda x: x / length)
+    return once(v, lambda a: once(F.greatest(F.sqrt(dot(a, a)), F.lit(1e-9)), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def minus(a, b, factor: float = 1.0) -> Column:
@@ -85,34 +86,52 @@ def embed_scores(profile: DataFrame, cand: DataFrame, cfg: Config = Config()) ->
 
     Selection uses the raw cosines; reported are those about the pool's mean, with negatives of their own. With
     ``relevance_center`` both are about the mean. Null vectors drop out.
-    """
-    p = cut(profile.where("vec IS NOT NULL").select("pool", unit("vec").alias("vec")))
-    c = cut(cand.where("vec IS NOT NULL").select("pool", "id", "ord", unit("vec").alias("vec")))
-
-    def score(p: DataFrame, c: DataFrame) -> DataFrame:
-        q = centroid(p, "vec", "q", "pool").select("pool", unit("q").alias("q"))
-        q = cut(q)
-        first = c.join(q, "pool").withColumn("score", F.round(dot("vec", "q"), 12))
-        if cfg.rocchio_gamma > 0:
-            worst = first.join(tail(first.select("pool", "id", "ord", "score"), cfg), ["pool", "id"], "left_semi")
-            m = centroid(worst, "vec", "m", "pool").select("pool", unit("m").alias("m"))
-            moved = q.join(cut(m), "pool", "left").select("pool", F.when(F.col("m").isNull(), F.col("q")).otherwise(unit(minus("q", "m", cfg.rocchio_gamma))).alias("q"))
-            first = c.join(moved, "pool").withColumn("score", F.round(dot("vec", "q"), 12))
-        return first.select("pool", "id", "ord", "score")
 
+    Candidates are read once for the means, once for the first scores and twice for the negatives and the last; only
+    means and scores are kept between, never vectors.
+    """
+    p = profile.where("vec IS NOT NULL").select("pool", unit("vec").alias("vec"))
+    c = cand.where("vec IS NOT NULL").select("pool", "id", "ord", unit("vec").alias("vec"))
+    about = unit(minus("vec", "mu"))
     mu = cut(centroid(c, "vec", "mu", "pool"))
-    about = lambda df, *cols: df.join(mu, "pool").select("pool", *cols, unit(minus("vec", "mu")).alias("vec"))
-    centred = score(about(p), about(c, "id", "ord"))
-    if cfg.relevance_center:
-        return centred.withColumn("reported", F.col("score"))
-    return score(p, c).join(centred.select("pool", "id", F.col("score").alias("reported")), ["pool", "id"])
+    seeds = means(p.join(mu, "pool").select("pool", F.array("vec", about).alias("both")))
+    q = cut(mu.join(seeds.select("pool", unit(F.col("m")[0]).alias("q0"), unit(F.col("m")[1]).alias("q1")), "pool"))
+
+    def scored(q: DataFrame) -> DataFrame:
+        both = c.join(q, "pool")
+        return both.select("pool", "id", "ord", F.round(dot("vec", "q0"), 12).alias("raw"), F.round(dot(about, "q1"), 12).alias("centred"))
+
+    out = scored(q)
+    if cfg.rocchio_gamma > 0:
+        first = cut(out)
+        worst = tail(first.withColumn("score", F.col("raw")), cfg).withColumn("w0", F.lit(True)).join(tail(first.withColumn("score", F.col("centred")), cfg).withColumn("w1", F.lit(True)), ["pool", "id"], "full")
+        lost = c.join(worst, ["pool", "id"]).join(mu, "pool")
+        m = means(lost.select("pool", F.array(F.when(F.col("w0"), F.col("vec")), F.when(F.col("w1"), about)).alias("both")))
+        moved = lambda k: F.when(F.col("m").isNull(), F.col(f"q{k}")).otherwise(unit(minus(f"q{k}", unit(F.col("m")[k]), cfg.rocchio_gamma))).alias(f"q{k}")
+        out = scored(cut(q.join(m, "pool", "left").select("pool", "mu", moved(0), moved(1))))
+    return out.select("pool", "id", "ord", F.col("centred" if cfg.relevance_center else "raw").alias("score"), F.col("centred").alias("reported"))
+
+
+def means(rows: DataFrame) -> DataFrame:
+    """(pool, m): of every vector in the array ``both``, its mean over the pool's rows; null vectors don't count."""
+    parts = rows.select("pool", F.posexplode("both").alias("k", "vec")).select("pool", "k", F.posexplode("vec").alias("dim", "x"))
+    by_dim = parts.groupBy("pool", "k", "dim").agg(F.avg("x").alias("x"))
+    vectors = by_dim.groupBy("pool", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    return vectors.groupBy("pool").agg(F.array(*[F.max(F.when(F.col("k") == k, F.col("vec"))) for k in (0, 1)]).alias("m"))
+
+
+#: Parts that a pool is split into before its best are chosen
+PARTS = 64
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each pool by selection score, in order of the reported one; all of them if ``k`` <= 0."""
-    picked = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "ord"))
-    rows = scores.withColumn("picked", picked)
+    """The best ``k`` of each pool by selection score, in order of the reported one; all of them if ``k`` <= 0.
+
+    The best of each part of a pool are taken first, so no task sorts a whole pool.
+    """
+    order = [F.desc("score"), F.col("ord")]
     if k and k > 0:
-        rows = rows.where(F.col("picked") <= k)
-    rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("reported"), "picked"))
-    return rows.withColumn("rank", rank)
+        part = F.row_number().over(Window.partitionBy("pool", F.pmod(F.xxhash64("id"), F.lit(PARTS))).orderBy(*order))
+        rows = scores.withColumn("picked", part).where(F.col("picked") <= k).withColumn("picked", F.row_number().over(Window.partitionBy("pool").orderBy(*order))).where(F.col("picked") <= k)
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("reported"), "picked")))
+    return place_within(place_within(scores, "pool", order, "picked"), "pool", [F.desc("reported"), F.col("picked")], "rank")

@@ -14,13 +14,27 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import CONTENT_WORD, STOPLIST, SYMBOL, content, normal_term
-from ..plans.physical import spread
+from ..plans.physical import cut, spread
+
+
+#: Ids that come more than once, up to which they are broadcast (about 30 bytes each)
+BROADCAST_IDS = 500_000
 
 
 def one_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_seq, doc_id, content): last content at the first place. One shuffle, combined on the map side."""
+    """(doc_seq, doc_id, content): last content at the first place.
+
+    Only ids move to find those that come again; texts of all others stay where they are read. Where more ids come
+    again than can be broadcast, all rows are grouped.
+    """
     rows = docs.where("doc_id IS NOT NULL").select("doc_seq", "doc_id", content().alias("content"))
-    return rows.groupBy("doc_id").agg(F.min("doc_seq").alias("doc_seq"), F.max_by("content", "doc_seq").alias("content")).select("doc_seq", "doc_id", "content")
+    again = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = again.count()
+    if not n:
+        return rows
+    repeated = rows if n > BROADCAST_IDS else rows.join(F.broadcast(again), "doc_id", "left_semi")
+    merged = repeated.groupBy("doc_id").agg(F.min("doc_seq").alias("doc_seq"), F.max_by("content", "doc_seq").alias("content")).select("doc_seq", "doc_id", "content")
+    return merged if n > BROADCAST_IDS else rows.join(F.broadcast(again), "doc_id", "left_anti").select("doc_seq", "doc_id", "content").unionByName(merged)
 
 
 def keep(term: Column, cfg: Config) -> Column:

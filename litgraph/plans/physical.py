@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def cores(spark: SparkSession) -> int:
@@ -60,3 +61,24 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one key up to which a window numbers them in one task
+IN_ONE_TASK = 1_000_000
+
+
+def place_within(df: DataFrame, key: str, order: list[Column], name: str, most: int = IN_ONE_TASK) -> DataFrame:
+    """``df`` with the place, from 1, that a row has among those of its ``key``. The order has to be total.
+
+    Keys of any size: beyond ``most`` rows of one, all are range-partitioned by key and order and sorted there, and
+    each partition's rows are counted on from those before it.
+    """
+    largest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    rows = df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    rows = written(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    parts = rows.groupBy(key, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(key, "__part", (before - F.col("__first") + 1).alias("__start"))
+    return rows.join(starts, [key, "__part"]).withColumn(name, (F.col("__start") + F.col("__at")).cast("int")).drop("__part", "__at", "__start")

@@ -10,6 +10,7 @@ from .config import Config
 from .functions.text import STOPLIST, content, normal_term
 from .operators import citations, cluster, cooccur, discovery, evaluate, expansion, graph, layout, relevance, terms
 from .operators.packed import packed_values
+from .plans.physical import written
 from .sources import cache, docs, ids, refs
 from .sources.tables import table
 
@@ -42,7 +43,7 @@ def p1_found(spark, sf_dir):
   SELECT rec_id, 'refs' AS field_name, regexp_extract_all(refs, '[0-9]+') AS v FROM papers UNION ALL
   SELECT rec_id, 'cited_by', regexp_extract_all(cited_by, '[0-9]+') FROM papers)"""
 )
-def p1_ids(spark, sf_dir):
+def p1_id_values(spark, sf_dir):
     """The id fields alone, which SQL can check."""
     return p1_found(spark, sf_dir).where("field_name <> 'authors'")
 
@@ -269,7 +270,7 @@ def corpus_union(spark, sf_dir):
     """Two loads after each other: first of each pmid, then all."""
     c = corpus(spark, sf_dir)
     both = docs.stacked([citations.corpus(c), c])
-    return both.select(F.col("doc_seq.part").alias("part"), "doc_id", "title")
+    return both.select(docs.part_of("doc_seq").alias("part"), "doc_id", "title")
 
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -316,8 +317,7 @@ def recs(spark, sf_dir):
 
 
 def paper_parts(spark, sf_dir):
-    papers, r = citations.corpus(corpus(spark, sf_dir)).persist(), recs(spark, sf_dir).persist()
-    return papers, r
+    return written(citations.corpus(corpus(spark, sf_dir))), written(recs(spark, sf_dir))
 
 
 @query(f"WITH {RECS_SQL} SELECT citer, cited FROM pe")
@@ -483,26 +483,32 @@ def score_sql(q: str, name: str) -> str:
   FROM pool LEFT JOIN size USING (pool, id) LEFT JOIN {name}h USING (pool, id) LEFT JOIN {name}n USING (pool))"""
 
 
-ROCCHIO_SQL = f"""{POOL_SQL}, {score_sql('q', 's0')},
-rk AS (SELECT *, count(*) OVER (PARTITION BY pool) AS n, row_number() OVER (PARTITION BY pool ORDER BY score, ord) AS loc FROM s0),
-neg AS (SELECT pool, id FROM rk WHERE n >= 8 AND loc <= CASE WHEN n - greatest(1, round_even(n * 0.25, 0)) < 50 THEN greatest(0, n - 50) ELSE greatest(1, round_even(n * 0.25, 0)) END),
-g0 AS (SELECT pool, term, count(*)::DOUBLE AS w FROM cand JOIN neg USING (pool, id) GROUP BY pool, term),
-g AS (SELECT pool, term, w / sqrt(sum(w * w) OVER (PARTITION BY pool)) AS w FROM g0),
-q2 AS (SELECT pool, term, coalesce(q.w, 0) - 0.25 * coalesce(g.w, 0) AS w FROM q FULL JOIN g USING (pool, term)), {score_sql('q2', 's1')}"""
+def rocchio_sql(gamma: float, k: int = 50, n: str = "") -> str:
+    """Negatives of the first scores s0, and the scores s1 (with ``n`` behind the names) after they are taken off."""
+    return f"""rk{n} AS (SELECT *, count(*) OVER (PARTITION BY pool) AS n, row_number() OVER (PARTITION BY pool ORDER BY score, ord) AS loc FROM s0),
+neg{n} AS (SELECT pool, id FROM rk{n} WHERE n >= 8 AND loc <= CASE WHEN n - greatest(1, round_even(n * 0.25, 0)) < {k} THEN greatest(0, n - {k}) ELSE greatest(1, round_even(n * 0.25, 0)) END),
+ga{n} AS (SELECT pool, term, count(*)::DOUBLE AS w FROM cand JOIN neg{n} USING (pool, id) GROUP BY pool, term),
+gb{n} AS (SELECT pool, term, w / sqrt(sum(w * w) OVER (PARTITION BY pool)) AS w FROM ga{n}),
+q2{n} AS (SELECT pool, term, coalesce(q.w, 0) - {gamma} * coalesce(gb{n}.w, 0) AS w FROM q FULL JOIN gb{n} USING (pool, term)), {score_sql('q2' + n, 's1' + n)}"""
+
+
+ROCCHIO_SQL = f"""{POOL_SQL}, {score_sql('q', 's0')}, {rocchio_sql(0.25)}"""
 
 
 def pools(spark, sf_dir):
     """(profile, candidates, listed): for every review its seeds' terms, and its targets among the documents."""
-    found = mentions(spark, sf_dir).select("doc_id", "term").distinct()
     trials = table(spark, sf_dir, "trials")
     seed, target = evaluate.role(trials, "seed"), evaluate.role(trials, "target")
     target = target.join(seed, ["review", "pmid"], "left_anti")
-    held = terms.one_per_id(corpus(spark, sf_dir)).select("doc_id", "doc_seq")
     keyed = lambda df: df.select(F.col("review").alias("pool"), F.concat(F.lit("PMID:"), "pmid").alias("doc_id"))
+    asked = keyed(seed).unionByName(keyed(target)).select("doc_id").distinct()
+    held = corpus(spark, sf_dir).join(asked, "doc_id", "left_semi")
+    found = written(terms.extract(held, CFG).select("doc_id", "term").distinct())
     profile = keyed(seed).join(found, "doc_id").select("pool", F.col("doc_id").alias("id"), "term")
-    listed = keyed(target).join(held, "doc_id").select("pool", F.col("doc_id").alias("id"), F.col("doc_seq").alias("ord"))
+    first = held.groupBy("doc_id").agg(F.min("doc_seq").alias("ord"))
+    listed = keyed(target).join(first, "doc_id").select("pool", F.col("doc_id").alias("id"), "ord")
     cand = listed.join(found.withColumnRenamed("doc_id", "id"), "id").select("pool", "id", "term")
-    return profile.persist(), cand.persist(), listed.persist()
+    return tuple(written(df) for df in (profile, cand, listed))
 
 
 @query(f"WITH {POOL_SQL}, {score_sql('q', 's0')} SELECT pool, id, round(score, 6) AS score FROM s0")
@@ -580,14 +586,13 @@ def rel_expand(spark, sf_dir):
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
-ARMS_SQL = f"""{RECS_SQL},
+LINKED_SQL = f"""{RECS_SQL},
 ts AS (SELECT DISTINCT review, pmid FROM trials WHERE trial_role = 'seed' AND review IS NOT NULL AND pmid IS NOT NULL),
 tt AS (SELECT DISTINCT review, pmid FROM trials WHERE trial_role = 'target' AND review IS NOT NULL AND pmid IS NOT NULL),
 back AS (SELECT DISTINCT review, cited AS pmid FROM ts JOIN lk ON lk.citer = ts.pmid EXCEPT SELECT review, pmid FROM ts),
 fwd AS (SELECT DISTINCT review, citer AS pmid FROM ts JOIN lk ON lk.cited = ts.pmid EXCEPT SELECT review, pmid FROM ts),
-both_ AS (SELECT review, pmid FROM back UNION SELECT review, pmid FROM fwd),
-arms AS (SELECT 'backward' AS arm, * FROM back UNION ALL SELECT 'forward', * FROM fwd UNION ALL SELECT 'both', * FROM both_),
-ry AS (SELECT review, max(pub_year) AS ry FROM trials GROUP BY review),
+both_ AS (SELECT review, pmid FROM back UNION SELECT review, pmid FROM fwd)"""
+SCORED_SQL = """ry AS (SELECT review, max(pub_year) AS ry FROM trials GROUP BY review),
 cut AS (SELECT arm, arms.review, arms.pmid FROM arms LEFT JOIN ry USING (review) LEFT JOIN (SELECT pmid, pub_year FROM r) USING (pmid) WHERE pub_year IS NULL OR ry IS NULL OR pub_year <= ry),
 tn AS (SELECT review, pmid FROM tt EXCEPT SELECT review, pmid FROM ts),
 rv AS (SELECT review FROM ts UNION SELECT review FROM tn),
@@ -597,14 +602,37 @@ gr AS (SELECT arm, review, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(n_t
   FROM rv CROSS JOIN (SELECT DISTINCT arm FROM arms) LEFT JOIN hit USING (arm, review) LEFT JOIN nt USING (review)),
 pr AS (SELECT *, CASE WHEN n_retrieved > 0 THEN hits / n_retrieved ELSE 0 END AS precision, CASE WHEN n_target > 0 THEN hits / n_target ELSE 0 END AS recall FROM gr),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr)"""
+ARMS_SQL = f"""{LINKED_SQL},
+arms AS (SELECT 'backward' AS arm, * FROM back UNION ALL SELECT 'forward', * FROM fwd UNION ALL SELECT 'both', * FROM both_), {SCORED_SQL}"""
+#: Gates of the arms: what each compares, terms of titles, and the first scores
+GATES_SQL = rf"""{LINKED_SQL},
+tl AS (SELECT pmid AS id, title || '. ' AS content FROM r WHERE trim(title) <> ''),
+tk AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(list_filter(list_concat(
+    list_transform(list_filter(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]+[0-9][A-Za-z0-9]*')), lambda x: lower(x)),
+    list_filter(list_transform(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))), lambda x: length(x) >= 3)) AS term FROM tl)),
+gp AS (SELECT 'bwd' AS gate, * FROM ts UNION ALL SELECT 'bwd', * FROM fwd UNION ALL SELECT 'fwd', * FROM ts UNION ALL SELECT 'fwd', * FROM back UNION ALL SELECT 'seeds_bwd', * FROM ts UNION ALL SELECT 'seeds_fwd', * FROM ts),
+gc AS (SELECT 'bwd' AS gate, * FROM back UNION ALL SELECT 'fwd', * FROM fwd UNION ALL SELECT 'seeds_bwd', * FROM back UNION ALL SELECT 'seeds_fwd', * FROM fwd),
+prof AS (SELECT gate || ':' || review AS pool, id, term FROM gp JOIN tk ON tk.id = gp.pmid),
+pool AS (SELECT gate || ':' || review AS pool, gate, review, pmid AS id, pmid AS ord FROM gc WHERE pmid IN (SELECT id FROM tk)),
+cand AS (SELECT pool, pool.id, term FROM pool JOIN tk ON tk.id = pool.id),
+size AS (SELECT pool, id, count(*) AS n FROM cand GROUP BY pool, id),
+q0 AS (SELECT pool, term, count(*)::DOUBLE AS w FROM prof GROUP BY pool, term),
+q AS (SELECT pool, term, w / sqrt(sum(w * w) OVER (PARTITION BY pool)) AS w FROM q0), {score_sql('q', 's0')}"""
+
+
+def picked_sql(scores: str, n: str) -> str:
+    return f"pk{n} AS (SELECT gate, review, {scores}.id AS pmid, row_number() OVER (PARTITION BY {scores}.pool ORDER BY score DESC, {scores}.ord) AS picked FROM {scores} JOIN pool ON pool.pool = {scores}.pool AND pool.id = {scores}.id)"
 
 
-def all_links(spark, sf_dir):
-    return citations.links(citations.records(table(spark, sf_dir, "papers")))
+def links_of_seeds(spark, sf_dir):
+    """(records, trials, what the seeds link to)."""
+    r, trials = written(citations.records(table(spark, sf_dir, "papers"))), table(spark, sf_dir, "trials")
+    return r, trials, written(evaluate.linked(trials, citations.reported(r)))
 
 
 def arm(spark, sf_dir, direction):
-    return evaluate.seed_links(table(spark, sf_dir, "trials"), all_links(spark, sf_dir), direction)
+    links = citations.reported(citations.records(table(spark, sf_dir, "papers")))
+    return evaluate.seed_links(table(spark, sf_dir, "trials"), links, direction)
 
 
 @query(f"WITH {ARMS_SQL} SELECT review, pmid FROM fwd")
@@ -622,14 +650,13 @@ def arm_both(spark, sf_dir):
     return arm(spark, sf_dir, "both")
 
 
+def dated(arms, trials, r):
+    return evaluate.year_cutoff(arms, trials, r.select("pmid", F.col("year").alias("pub_year")))
+
+
 def retrieved(spark, sf_dir):
-    trials, links = table(spark, sf_dir, "trials"), all_links(spark, sf_dir).persist()
-    out = None
-    for d in ("backward", "forward", "both"):
-        got = evaluate.seed_links(trials, links, d).withColumn("arm", F.lit(d))
-        out = got if out is None else out.unionByName(got)
-    years = citations.records(table(spark, sf_dir, "papers")).select("pmid", F.col("year").alias("pub_year"))
-    return evaluate.year_cutoff(out, trials, years)
+    r, trials, found = links_of_seeds(spark, sf_dir)
+    return dated(evaluate.plain_arms(found), trials, r)
 
 
 @query(f"WITH {ARMS_SQL} SELECT arm, review, pmid FROM cut")
@@ -639,7 +666,7 @@ def year_cutoff(spark, sf_dir):
 
 @query(f"WITH {ARMS_SQL} SELECT arm, review, n_retrieved, n_target, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def eval_prf(spark, sf_dir):
-    scored = evaluate.precision_recall(retrieved(spark, sf_dir).persist(), table(spark, sf_dir, "trials"))
+    scored = evaluate.precision_recall(retrieved(spark, sf_dir), table(spark, sf_dir, "trials"), evaluate.PLAIN)
     return scored.select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -648,7 +675,42 @@ MEASURES = ("precision", "recall", "f1", "n_retrieved")
 
 @query(f"WITH {ARMS_SQL} SELECT arm, count(*) AS reviews, {', '.join(f'round(median({m}), 6) AS median_{m}, round(avg({m}), 6) AS mean_{m}' for m in MEASURES)} FROM f GROUP BY arm")
 def eval_summary(spark, sf_dir):
-    summary = evaluate.summarize(evaluate.precision_recall(retrieved(spark, sf_dir).persist(), table(spark, sf_dir, "trials")))
+    summary = evaluate.summarize(evaluate.precision_recall(retrieved(spark, sf_dir), table(spark, sf_dir, "trials"), evaluate.PLAIN))
+    return summary.select("arm", "reviews", *[F.round(f"{s}_{m}", 6).alias(f"{s}_{m}") for m in MEASURES for s in ("median", "mean")])
+
+
+ARMS_BY_RELEVANCE = ["relevance", "relevance_fwd", "relevance_seeds", "relevance_seeds:0.25:10"]
+GAMMAS = [0.0, 0.25, 0.5]
+
+
+def gated(spark, sf_dir, arms):
+    r, trials, found = links_of_seeds(spark, sf_dir)
+    got = evaluate.gated_arms(trials, found, written(evaluate.title_terms(r)), arms)
+    return evaluate.precision_recall(dated(got, trials, r), trials, arms)
+
+
+@query(
+    f"""WITH {GATES_SQL}, {rocchio_sql(0.25)}, {picked_sql("s1", "")},
+arms AS (SELECT DISTINCT * FROM (SELECT 'relevance' AS arm, review, pmid FROM pk WHERE gate = 'bwd' AND picked <= 50 UNION ALL SELECT 'relevance', * FROM fwd
+  UNION ALL SELECT 'relevance_fwd', review, pmid FROM pk WHERE gate = 'fwd' AND picked <= 50 UNION ALL SELECT 'relevance_fwd', * FROM back
+  UNION ALL SELECT 'relevance_seeds', review, pmid FROM pk WHERE gate IN ('seeds_bwd', 'seeds_fwd') AND picked <= 50
+  UNION ALL SELECT 'relevance_seeds:0.25:10', review, pmid FROM pk WHERE gate IN ('seeds_bwd', 'seeds_fwd') AND picked <= 10)), {SCORED_SQL}
+SELECT arm, review, n_retrieved, n_target, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f"""
+)
+def eval_relevance(spark, sf_dir):
+    """Arms gated by relevance over the papers that a review's seeds link to, by the terms of their titles."""
+    scored = gated(spark, sf_dir, ARMS_BY_RELEVANCE)
+    return scored.select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    f"""WITH {GATES_SQL}, {picked_sql("s0", "0")}, {", ".join(f"{rocchio_sql(g, 50, f'_{i}')}, {picked_sql(f's1_{i}', str(i))}" for i, g in enumerate(GAMMAS) if g)},
+arms AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT 'relevance:{g}' AS arm, review, pmid FROM pk{i} WHERE gate = 'bwd' AND picked <= 50 UNION ALL SELECT 'relevance:{g}', * FROM fwd" for i, g in enumerate(GAMMAS))})), {SCORED_SQL}
+SELECT arm, count(*) AS reviews, {", ".join(f"round(median({m}), 6) AS median_{m}, round(avg({m}), 6) AS mean_{m}" for m in MEASURES)} FROM f GROUP BY arm"""
+)
+def eval_gamma_sweep(spark, sf_dir):
+    """One arm for every gamma."""
+    summary = evaluate.summarize(gated(spark, sf_dir, [f"relevance:{g}" for g in GAMMAS]))
     return summary.select("arm", "reviews", *[F.round(f"{s}_{m}", 6).alias(f"{s}_{m}") for m in MEASURES for s in ("median", "mean")])
 
 
@@ -746,13 +808,18 @@ def cache_ttl(spark, sf_dir):
     return cache.live(entries, CFG.citation_cache_days, F.lit(now)).select("key", "fetched")
 
 
+BATCH = 200
+
+
 @query(
-    r"""WITH g AS (SELECT pmid, sha1(string_agg(other, ',' ORDER BY other)) AS h FROM (SELECT DISTINCT pmid, other FROM links WHERE pmid IS NOT NULL AND other IS NOT NULL) GROUP BY pmid)
-SELECT pmid, 'links:icite:' || h AS key FROM g"""
+    f"""WITH o AS (SELECT pmid, row_number() OVER (ORDER BY pmid) - 1 AS k FROM (SELECT DISTINCT pmid FROM links WHERE pmid IS NOT NULL))
+SELECT k // {BATCH} AS batch, 'links:icite:' || sha1(string_agg(pmid, ',' ORDER BY pmid)) AS key FROM o GROUP BY 1"""
 )
 def link_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "links").where("pmid IS NOT NULL AND other IS NOT NULL")
-    return rows.groupBy("pmid").agg(F.array_sort(F.collect_set("other")).alias("ids")).select("pmid", cache.link_key("icite", F.col("ids")).alias("key"))
+    """Keys of the requests for all papers' links, each for a batch of ids."""
+    asked = table(spark, sf_dir, "links").where("pmid IS NOT NULL").select("pmid").distinct()
+    batches = cache.batches(asked, "pmid", BATCH)
+    return batches.select("batch", cache.link_key("icite", F.col("ids")).alias("key"))
 
 
 @query(

@@ -25,6 +25,15 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+TRIAL_COLUMNS = ("arm", "review", "n_retrieved", "n_target", "hits", "precision", "recall", "f1")
+
+
+def write_trials(scored: DataFrame, path: str) -> str:
+    """One row per arm and review, in their order. Not put into one file: reviews may be any number."""
+    scored.select(*TRIAL_COLUMNS).orderBy("arm", "review").write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def ranked_terms(ranked: DataFrame) -> DataFrame:
     return ranked.orderBy("rank").select("term", F.round("score", 4).alias("score"), "corpus_count", "doc_freq")
 

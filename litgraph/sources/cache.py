@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.physical import place_within
+
 SCHEMA = "key string, fetched timestamp, value string"
 
 
@@ -15,6 +17,12 @@ def link_key(kind: str, ids) -> object:
     return F.concat(F.lit(f"links:{kind}:"), F.sha1(F.array_join(ids, ",")))
 
 
+def batches(asked: DataFrame, column: str, size: int) -> DataFrame:
+    """(batch, ids): the distinct ids in their order, ``size`` to a request. The order is found by range partitions."""
+    one = place_within(asked.select(F.col(column).alias("id"), F.lit(0).alias("all")), "all", [F.col("id")], "at")
+    return one.groupBy(F.floor((F.col("at") - 1) / size).alias("batch")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def live(entries: DataFrame, ttl_days: float | None, now=None) -> DataFrame:
     """Latest entry of each key that is not older than ``ttl_days`` (None: never expires)."""
     latest = entries.groupBy("key").agg(F.max(F.struct("fetched", "value")).alias("e")).select("key", "e.fetched", "e.value")

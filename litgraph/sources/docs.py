@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -36,26 +38,53 @@ def from_table(documents: DataFrame) -> DataFrame:
 
 def fetch_by_ids(library: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents of the library by pmid, in order of ``ids`` (id, ord); the first of equal ones, without empty texts."""
-    known = graph.first_wins(library.withColumn("id", pmid_of()).where("id IS NOT NULL AND trim(text) <> ''"), "id", "doc_seq")
-    return known.join(ids.select("id", "ord"), "id").drop("id")
+    asked = library.withColumn("id", pmid_of()).where("id IS NOT NULL AND trim(text) <> ''").join(ids.select("id", "ord"), "id")
+    return graph.first_wins(asked, "id", "doc_seq").drop("id")
 
 
 def search(library: DataFrame, query: str, limit: int) -> DataFrame:
-    """Documents whose title or text holds every word of the query: an offline stand-in for a search service."""
-    words = [w.lower() for w in query.split() if w.upper() not in ("AND", "OR", "NOT")]
+    """An offline stand-in for a search service: documents whose title or text holds the words of the query.
+
+    Words next to each other and AND ask for all of them, OR for either side, NOT for the absence of the next word; a
+    quoted phrase is one word. AND binds closer than OR.
+    """
     both = F.lower(F.concat_ws(" ", "title", "text"))
-    hit = F.lit(True)
-    for w in words:
-        hit &= F.contains(both, F.lit(w))
-    return library.where(hit).orderBy("doc_seq").limit(limit)
+    either = None
+    for side in re.split(r"\bOR\b(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", query):
+        hit, absent = None, False
+        for phrase, word in re.findall(r'"([^"]*)"|(\S+)', side):
+            if word == "NOT":
+                absent = True
+            elif word != "AND":
+                has = F.contains(both, F.lit((phrase or word).lower()))
+                hit = (~has if absent else has) if hit is None else hit & (~has if absent else has)
+                absent = False
+        if hit is not None:
+            either = hit if either is None else either | hit
+    return library.where(F.lit(True) if either is None else either).orderBy("doc_seq").limit(limit)
+
+
+#: ``doc_seq`` holds the part in its upper bits and the place within the part in the lower ones
+PLACE_BITS = 48
+#: Part of documents that an expansion adds behind loaded ones
+ADDED = 1 << 10
+
+
+def part_of(doc_seq: str) -> Column:
+    return F.shiftright(doc_seq, PLACE_BITS).cast("int")
+
+
+def placed(doc_seq: Column, part: int) -> Column:
+    """``doc_seq`` of a place within a part: sortable over all parts, a bigint. Places are taken as they come."""
+    return (doc_seq.cast("bigint") + F.lit(part << PLACE_BITS)).alias("doc_seq")
 
 
-def stacked(parts: list[DataFrame]) -> DataFrame:
-    """Parts in order, ``doc_seq`` counting through; no row of different parts is merged."""
+def stacked(parts: list[DataFrame], first: int = 0) -> DataFrame:
+    """Parts in order, numbered from ``first``; no row of different parts is merged."""
     out = None
-    for k, p in enumerate(parts):
+    for k, p in enumerate(parts, first):
         have = [F.col(c) if c in p.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]
-        rows = p.select(F.struct(F.lit(k).alias("part"), F.col("doc_seq").cast("bigint").alias("at")).alias("doc_seq"), *[c.cast("string") for c in have])
+        rows = p.select(placed(F.col("doc_seq"), k), *[c.cast("string") for c in have])
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -80,7 +109,8 @@ def load_documents(spark: SparkSession, *, library: DataFrame | None = None, que
         raise ValueError("no input: give a query, ids, a reference file or texts")
     if cfg.expand_rounds > 0 and cfg.expand_strategy == "bfs" and links is not None and library is not None:
         held = stacked(parts).withColumn("id", pmid_of()).where("id IS NOT NULL")
-        seeds = held.select("id", F.row_number().over(Window.orderBy("doc_seq")).alias("ord")) if cfg.expand_max else held.select("id", F.lit(0).alias("ord"))
+        seeds = held.select("id", F.col("doc_seq").alias("ord"))
         reached = expansion.expand_pmids(seeds, links, cfg.expand_rounds, cfg.expand_link, cfg.expand_source, cfg.expand_max).where("round > 0")
-        parts.append(fetch_by_ids(library, reached).withColumn("doc_seq", F.col("ord")))
+        added = fetch_by_ids(library, reached.withColumn("ord", F.coalesce("ord", F.col("round").cast("bigint"))))
+        return stacked(parts).unionByName(stacked([added.withColumn("doc_seq", F.col("ord"))], ADDED))
     return stacked(parts)

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from litgraph import queries
 
-CHECKED = ["p1_ids", "doc_content", "term_mentions", "rank_terms", "trim_graph", "abc_candidates", "citation_ranking", "author_ranking", "kcore_papers", "bfs_capped", "rel_terms_rocchio", "rel_embed", "eval_summary", "shell_layout", "cache_ttl"]
+CHECKED = ["p1_id_values", "doc_content", "term_mentions", "rank_terms", "trim_graph", "abc_candidates", "citation_ranking", "author_ranking", "kcore_papers", "bfs_capped", "rel_terms_rocchio", "rel_embed", "eval_summary", "shell_layout", "cache_ttl"]
 
 
 def cell(v):

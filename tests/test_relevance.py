@@ -94,7 +94,13 @@ def test_evaluation(spark):
     assert s["median_f1"] == 0.2 and abs(s["mean_f1"] - 0.4) < 1e-12
     none = evaluate.precision_recall(got.limit(0), trials)
     assert none.count() == 0
-    assert "backward" in evaluate.interpret([{"arm": "forward", "median_f1": 0.1}, {"arm": "backward", "median_f1": 0.2}])
+    row = lambda arm, p, f: {"arm": arm, "median_precision": p, "median_recall": 0.1, "median_f1": f, "median_n_retrieved": 3, "reviews": 2}
+    said = evaluate.interpret([row("forward", 0.9, 0.1), row("backward", 0.1, 0.2)])
+    assert ": supported" in said and "gamma" not in said
+    assert "not supported" in evaluate.interpret([row("forward", 0.1, 0.9), row("backward", 0.2, 0.1)]) and "tied" in evaluate.interpret([row("forward", 0.2, 0.9), row("backward", 0.2, 0.1)])
+    said = evaluate.interpret([row("relevance:0.0", 0.1, 0.2), row("relevance:0.25", 0.1, 0.3), row("relevance:0.5", 0.1, 0.3)])
+    assert "best gamma by median F1: 0.25" in said and "+0.1000" in said and not evaluate.interpret([row("relevance:0.25", 0.1, 0.3)])
+    assert "relevance:0.5" in evaluate.summary_table([row("relevance:0.5", 0.1, 0.3)])
     assert evaluate.parse_arm("relevance_centred:0.5:20") == ("relevance", True, 0.5, 20)
     with pytest.raises(ValueError):
         evaluate.parse_arm("sideways")
