@@ -6,11 +6,13 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import Config
 from .operators.citations import records as to_records
 from .pipeline import run_pipeline
 from .sources.docs import from_table, load_documents
+from .sources.services import cached
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--expand-top-k", type=int, default=50)
     p.add_argument("--expand-max", type=int, default=1000)
     p.add_argument("--citations", action=argparse.BooleanOptionalAction, default=True)
-    p.add_argument("--citation-cache-days", type=int, default=30)
+    p.add_argument("--citation-cache-days", type=int, default=30, help="how long links in --link-cache are held; 0 switches it off")
+    p.add_argument("--link-cache", metavar="DIR", help="folder in which links that were looked up are kept")
     p.add_argument("--min-paper-degree", type=int, default=0)
     p.add_argument("--min-author-degree", type=int, default=0)
     p.add_argument("--min-author-papers", type=int, default=0)
@@ -41,10 +44,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vectors", help="Parquet table (term, vec) of term vectors")
     p.add_argument("--top-terms", type=int, default=200)
     p.add_argument("--min-doc-freq", type=int, default=2)
-    p.add_argument("--scispacy-model", default="en_core_sci_sm")
+    p.add_argument("--scispacy-model", default="en_core_sci_sm", help="no effect here: a term model is given as run_pipeline(extractor=)")
     p.add_argument("--retmax", type=int, default=1000)
-    p.add_argument("--email", default="")
-    p.add_argument("--api-key")
+    p.add_argument("--email", default="", help="no effect here: documents come from --library")
+    p.add_argument("--api-key", help="no effect here, as --email")
     return p
 
 
@@ -68,10 +71,14 @@ def main(argv: list[str] | None = None) -> int:
     read = lambda path: spark.read.parquet(path) if path else None
     library = from_table(read(a.library)) if a.library else None
     links = read(a.links)
+    if links is not None and a.link_cache:
+        table = links
+        links = cached(spark, lambda ids: table.join(ids.select(F.col("id").alias("pmid")), "pmid", "left_semi"), a.link_cache, cfg)
     docs = load_documents(spark, library=library, query=a.pubmed, pmids=a.pmids, refs=a.refs, links=links, cfg=cfg)
     records = to_records(read(a.records)) if a.records else None
     anchors = [x.strip() for x in a.anchors.split(",")] if a.anchors else None
     result = run_pipeline(spark, docs, cfg, records=records, library=library, links=links, anchors=anchors, term_vectors=read(a.vectors), out=a.out, progress=print)
+    print(", ".join(f"{name}: {n}" for name, n in result.summary().first().asDict().items()))
     for label, path in result.outputs.items():
         print(f"{label}: {path}")
     return 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -55,4 +55,3 @@ class Config:
     min_paper_degree: int = 0
     min_author_degree: int = 0
     min_author_papers: int = 0
-    extra: dict = field(default_factory=dict, compare=False)

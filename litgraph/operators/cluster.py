@@ -167,14 +167,16 @@ def kmeans(x: np.ndarray, k: int, seed: int, restarts: int = 10) -> np.ndarray:
 
 def grouped(terms: list[str], x: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
     """Largest group first, each named by its medoid; what is left over last, as -1 without a name."""
-    groups = sorted(((lab, np.flatnonzero(labels == lab)) for lab in np.unique(labels) if lab >= 0), key=lambda g: (-len(g[1]), g[0]))
-    rows = []
-    for cid, (_, at) in enumerate(groups):
-        centre = x[at].mean(axis=0)
-        medoid = int(at[np.argmin(np.linalg.norm(x[at] - centre, axis=1))])
-        rows += [(cid, terms[medoid], terms[i], bool(i == medoid)) for i in at]
-    rows += [(-1, "", terms[i], False) for i in np.flatnonzero(labels < 0)]
-    return pd.DataFrame(rows, columns=["cluster_id", "centroid_term", "term", "is_centroid"])
+    t = pd.DataFrame({"term": terms, "label": labels})
+    mean = pd.DataFrame(x).groupby(labels).transform("mean").to_numpy()
+    t["off"] = np.linalg.norm(x - mean, axis=1)
+    t["members"] = t.groupby("label")["label"].transform("size")
+    t["is_centroid"] = (t.groupby("label")["off"].transform("idxmin") == t.index) & (t["label"] >= 0)
+    t = t.sort_values(["members", "label"], ascending=[False, True], kind="stable")
+    t = pd.concat([t[t["label"] >= 0], t[t["label"] < 0]])
+    t["cluster_id"] = np.where(t["label"] < 0, -1, pd.factorize(t["label"])[0])
+    t["centroid_term"] = t["cluster_id"].map(t[t["is_centroid"]].set_index("cluster_id")["term"]).fillna("")
+    return t[["cluster_id", "centroid_term", "term", "is_centroid"]].reset_index(drop=True)
 
 
 def cluster_terms(terms: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -7,11 +7,11 @@ many rows at any corpus size. No self-join. Null terms drop out; repeated mentio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..plans.physical import cut
+from ..plans.physical import cut, written
 from . import graph
 
 #: Kept terms up to which the list is broadcast
@@ -71,10 +71,7 @@ def trim(edges: DataFrame, limit: int) -> DataFrame:
 
 def build(mentions: DataFrame, keep_terms: DataFrame | None, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(nodes (term, count), edges (a, b, weight, pmi)) after the trim."""
-    sets = doc_term_sets(mentions, keep_terms).persist()
+    sets = written(doc_term_sets(mentions, keep_terms))
     edges = trim(pmi_edges(sets, cfg), cfg.max_graph_nodes)
     return node_counts(sets), edges
 
-
-def ranked(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import pmid_of
+from ..functions.text import content, pmid_of
 from ..plans.physical import cut
 from . import graph, relevance, terms
+from .embed import Factory, embedded_or_none
 
 LINKS = ("references", "cited_by", "both")
 SOURCES = ("icite", "ncbi", "all")
@@ -32,35 +33,41 @@ def link_table(links: DataFrame, link: str = "both", source: str = "all") -> Dat
 
 
 def expand_pmids(seeds: DataFrame, links: DataFrame, rounds: int, link: str = "both", source: str = "all", max_records: int | None = 1000) -> DataFrame:
-    """(id, round, ord). No rounds: the distinct seeds, capped."""
-    return graph.bfs(seeds, link_table(links, link, source), max(0, rounds), max_records)
+    """(id, round, ord). No rounds: the distinct seeds, capped. ``links`` is a table or a function from (id) to one."""
+    steps = (lambda ids: link_table(links(ids), link, source)) if callable(links) else link_table(links, link, source)
+    return graph.bfs(seeds, steps, max(0, rounds), max_records)
 
 
 def terms_of(docs: DataFrame, cfg: Config) -> DataFrame:
     return terms.extract(docs, cfg).select("doc_id", "term").distinct()
 
 
-def relevance_guided_expand(seed_docs: DataFrame, library: DataFrame, links: DataFrame, cfg: Config = Config(), embeddings: DataFrame | None = None) -> DataFrame:
+def relevance_guided_expand(seed_docs: DataFrame, library: DataFrame, links, cfg: Config = Config(), embeddings: DataFrame | None = None, embedder: Factory | None = None) -> DataFrame:
     """Documents of ``library`` to append: (doc_seq, doc_id, title, text, expand_phase, relevance, rank).
 
     Citing papers first, then references: each direction is searched from the seeds, what is held already leaves,
-    and the best K by relevance to the seeds stay. What the first direction drops may come back in the second. With
-    ``embeddings`` (doc_id, vec) vectors decide, else terms.
+    and the best K by relevance to the seeds stay, ties in order of discovery, or of the library without a cap. What the first direction drops may come back in the second. With
+    ``embeddings`` (doc_id, vec), or those that ``embedder`` makes of the texts compared, vectors decide; without them,
+    or if the model fails, terms do.
     """
     seeds = seed_docs.withColumn("id", pmid_of()).where("id IS NOT NULL").select("id", F.col("doc_seq").alias("ord"))
     held = seed_docs.select("doc_id").distinct()
-    known = graph.first_wins(library.withColumn("id", pmid_of()).where("id IS NOT NULL").where(F.trim("text") != ""), "id", "doc_seq")
+    known = library.withColumn("id", pmid_of()).where("id IS NOT NULL").where(F.trim("text") != "")
     added = None
     for phase, link, rounds in (("forward", "cited_by", cfg.expand_fwd_rounds), ("backward", "references", cfg.expand_back_rounds)):
         reached = expand_pmids(seeds, links, rounds, link, cfg.expand_source, cfg.expand_max).where("round > 0")
-        pool = known.join(reached.select("id", "ord"), "id").join(held, "doc_id", "left_anti")
+        pool = graph.first_wins(known.join(reached.select("id", "ord"), "id"), "id", "doc_seq").join(held, "doc_id", "left_anti").withColumn("ord", F.coalesce("ord", "doc_seq"))
         if added is not None:
             pool = pool.join(added.select("doc_id"), "doc_id", "left_anti")
         pool = cut(pool)  # scored in several passes
         one = F.lit(phase).alias("pool")
         listed = pool.select(one, F.col("doc_id").alias("id"), "ord")
-        if embeddings is not None:
-            vec = lambda df: df.join(embeddings, "doc_id")
+        vectors = embeddings
+        if vectors is None and embedder is not None:
+            both = seed_docs.select("doc_id", content().alias("content")).unionByName(pool.select("doc_id", content().alias("content")))
+            vectors = embedded_or_none(both, "doc_id", "content", embedder, cfg)
+        if vectors is not None:
+            vec = lambda df: df.join(vectors, "doc_id")
             scores = relevance.embed_scores(vec(seed_docs).select(one, "vec"), vec(pool).select(one, F.col("doc_id").alias("id"), "ord", "vec"), cfg)
         else:
             p, c = (cut(terms_of(df, cfg).select(one, F.col("doc_id").alias("id"), "term")) for df in (seed_docs, pool))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,11 +77,11 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(F.broadcast(again), key, "left_anti").unionByName(some)
 
 
-def bfs(seeds: DataFrame, links: DataFrame, rounds: int, max_records: int | None = None) -> DataFrame:
+def bfs(seeds: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], rounds: int, max_records: int | None = None) -> DataFrame:
     """(id, round, ord): ids reached from ``seeds`` (id, ord) over ``links`` (id, other[, pos]).
 
     ``max_records`` keeps a prefix of the order of discovery: by round, then the order of the parent, then ``pos`` of
-    the link, then the id. Only that prefix is numbered; without a cap nothing is, and ``ord`` stays null after the
+    the link, then the id. ``links`` may be a function from (id) to links, asked once a round for the new ids. Only that prefix is numbered; without a cap nothing is, and ``ord`` stays null after the
     seeds. Null and blank ids are not followed; no new id ends the search.
     """
     firsts = seeds.where("id IS NOT NULL AND trim(id) <> ''").groupBy("id").agg(F.min("ord").cast("bigint").alias("ord"))
@@ -88,10 +90,14 @@ def bfs(seeds: DataFrame, links: DataFrame, rounds: int, max_records: int | None
         seen = numbered(seen, 0, max_records, "ord", "id")
     seen = frontier = cut(seen)
     total = seen.count()
-    steps = links.where("other IS NOT NULL").select(F.col("id").alias("src"), F.trim("other").alias("other"), F.col("pos") if "pos" in links.columns else F.lit(0).alias("pos")).where("other <> ''")
+
+    def steps_of(links: DataFrame) -> DataFrame:
+        return links.where("other IS NOT NULL").select(F.col("id").alias("src"), F.trim("other").alias("other"), F.col("pos") if "pos" in links.columns else F.lit(0).alias("pos")).where("other <> ''")
+
     for r in range(1, max(0, rounds) + 1):
         if max_records is not None and total >= max_records:
             break
+        steps = steps_of(links(frontier.select("id")) if callable(links) else links)
         if max_records is None:
             fresh = steps.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("other").alias("id"), F.lit(None).cast("bigint").alias("ord")).distinct()
         else:

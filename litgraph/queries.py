@@ -48,6 +48,23 @@ def p1_id_values(spark, sf_dir):
     return p1_found(spark, sf_dir).where("field_name <> 'authors'")
 
 
+PLAIN_LIST = "^[^\"'\\[{|\t\r\n&]*;[^\"'\\[{|\t\r\n&]*$"
+
+
+@query(
+    """SELECT rec_id, CAST(generate_subscripts(v, 1) AS INTEGER) AS pos, unnest(v) AS item_value FROM (SELECT rec_id,
+  list_filter(list_transform(string_split(authors, ';'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS v FROM papers
+  WHERE regexp_matches(authors, '"""
+    + PLAIN_LIST.replace("'", "''")
+    + """') AND NOT regexp_matches(authors, '(?i)(\\s|^)and\\s') AND NOT contains(authors, chr(92)))"""
+)
+def p1_plain_authors(spark, sf_dir):
+    """The authors that nothing but semicolons divides, which SQL can check."""
+    papers = table(spark, sf_dir, "papers")
+    plain = papers.where(F.col("authors").rlike(PLAIN_LIST) & ~F.col("authors").rlike(r"(?i)(\s|^)and\s") & ~F.contains("authors", F.lit("\\")))
+    return p1_found(spark, sf_dir).where("field_name = 'authors'").join(plain.select("rec_id"), "rec_id", "left_semi").select("rec_id", "pos", "item_value")
+
+
 # --- text and terms ------------------------------------------------------------------------------------------------
 
 DOCS_SQL = """d AS (SELECT doc_id AS doc_seq, CASE WHEN trim(pmid) <> '' THEN 'PMID:' || trim(pmid) ELSE 'ref:' || doc_id END AS doc_id, nullif(trim(pmid), '') AS pmid,
@@ -55,10 +72,15 @@ DOCS_SQL = """d AS (SELECT doc_id AS doc_seq, CASE WHEN trim(pmid) <> '' THEN 'P
 content AS (SELECT doc_seq, doc_id, CASE WHEN title <> '' THEN title || '. ' || text ELSE text END AS content FROM d),
 k AS (SELECT doc_id, min(doc_seq) AS doc_seq, arg_max(content, doc_seq) AS content FROM content GROUP BY doc_id)"""
 STOP_SQL = ", ".join(f"'{w}'" for w in STOPLIST)
+def terms_sql(text: str) -> str:
+    """List of the terms of a text: symbols in lower case, then content words."""
+    return rf"""list_filter(list_concat(
+    list_transform(list_filter(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]+[0-9][A-Za-z0-9]*')), lambda x: lower(x)),
+    list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))), lambda x: length(x) >= 3)"""
+
+
 MENTIONS_SQL = rf"""{DOCS_SQL},
-ts AS (SELECT doc_seq, doc_id, list_filter(list_concat(
-    list_transform(list_filter(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]+[0-9][A-Za-z0-9]*')), lambda x: lower(x)),
-    list_filter(list_transform(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))), lambda x: length(x) >= 3) AS l FROM k),
+ts AS (SELECT doc_seq, doc_id, {terms_sql("content")} AS l FROM k),
 m AS (SELECT doc_seq, doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS term FROM ts)"""
 COUNTS_SQL = f"""{MENTIONS_SQL},
 tc AS (SELECT term, count(*) AS corpus_count, count(DISTINCT doc_id) AS doc_freq FROM m GROUP BY term),
@@ -575,7 +597,25 @@ def rel_embed_centred(spark, sf_dir):
     return scores.select("pool", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+def phase_sql(link: str, more: str = "") -> str:
+    return f"""WITH pool AS (SELECT 'p' AS pool, doc_id AS id, doc_seq AS ord, doc_seq FROM kn WHERE doc_id NOT IN (SELECT doc_id FROM sd) {more}
+  AND pmid IN (SELECT other FROM l WHERE link = '{link}' AND id IN (SELECT pmid FROM sd)) AND pmid NOT IN (SELECT pmid FROM sd)),
+cand AS (SELECT pool, id, term FROM pool JOIN tx USING (doc_seq)),
+size AS (SELECT pool, id, count(*) AS n FROM cand GROUP BY pool, id),
+q0 AS (SELECT 'p' AS pool, term, count(*)::DOUBLE AS w FROM prof GROUP BY term),
+q AS (SELECT pool, term, w / sqrt(sum(w * w) OVER (PARTITION BY pool)) AS w FROM q0), {score_sql('q', 's0')}, {rocchio_sql(0.25)}
+SELECT id, score, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM s1 QUALIFY rank <= 50"""
+
+
+@query(
+    rf"""WITH {DOCS_SQL}, {LINKS_SQL},
+tx AS (SELECT DISTINCT doc_seq, term FROM (SELECT doc_seq, unnest({terms_sql("content")}) AS term FROM content)),
+sd AS (SELECT * FROM d WHERE pmid IN (SELECT id FROM seeds)),
+kn AS (SELECT * FROM d WHERE pmid IS NOT NULL AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY doc_seq) = 1),
+prof AS (SELECT doc_id AS id, term FROM (SELECT doc_id, max(doc_seq) AS doc_seq FROM sd GROUP BY doc_id) JOIN tx USING (doc_seq)),
+fw AS ({phase_sql("cited_by")}), bw AS ({phase_sql("references", "AND doc_id NOT IN (SELECT id FROM fw)")})
+SELECT id AS doc_id, 'forward' AS expand_phase, round(score, 4) AS relevance, CAST(rank AS INTEGER) AS rank FROM fw UNION ALL SELECT id, 'backward', round(score, 4), CAST(rank AS INTEGER) FROM bw"""
+)
 def rel_expand(spark, sf_dir):
     """Relevance-gated growth of the corpus from the documents that are seeds of a trial."""
     library = corpus(spark, sf_dir)
@@ -605,11 +645,9 @@ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 ARMS_SQL = f"""{LINKED_SQL},
 arms AS (SELECT 'backward' AS arm, * FROM back UNION ALL SELECT 'forward', * FROM fwd UNION ALL SELECT 'both', * FROM both_), {SCORED_SQL}"""
 #: Gates of the arms: what each compares, terms of titles, and the first scores
-GATES_SQL = rf"""{LINKED_SQL},
+GATES_SQL = f"""{LINKED_SQL},
 tl AS (SELECT pmid AS id, title || '. ' AS content FROM r WHERE trim(title) <> ''),
-tk AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(list_filter(list_concat(
-    list_transform(list_filter(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]+[0-9][A-Za-z0-9]*')), lambda x: lower(x)),
-    list_filter(list_transform(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))), lambda x: length(x) >= 3)) AS term FROM tl)),
+tk AS (SELECT DISTINCT id, term FROM (SELECT id, unnest({terms_sql("content")}) AS term FROM tl)),
 gp AS (SELECT 'bwd' AS gate, * FROM ts UNION ALL SELECT 'bwd', * FROM fwd UNION ALL SELECT 'fwd', * FROM ts UNION ALL SELECT 'fwd', * FROM back UNION ALL SELECT 'seeds_bwd', * FROM ts UNION ALL SELECT 'seeds_fwd', * FROM ts),
 gc AS (SELECT 'bwd' AS gate, * FROM back UNION ALL SELECT 'fwd', * FROM fwd UNION ALL SELECT 'seeds_bwd', * FROM back UNION ALL SELECT 'seeds_fwd', * FROM fwd),
 prof AS (SELECT gate || ':' || review AS pool, id, term FROM gp JOIN tk ON tk.id = gp.pmid),
@@ -805,7 +843,7 @@ def cache_ttl(spark, sf_dir):
     rows = table(spark, sf_dir, "links").where("pmid IS NOT NULL AND other IS NOT NULL")
     now = table(spark, sf_dir, "links").agg(F.max("fetched_at")).first()[0]
     entries = rows.select(F.concat_ws(":", "pmid", "other").alias("key"), F.col("fetched_at").alias("fetched"), F.col("source").alias("value"))
-    return cache.live(entries, CFG.citation_cache_days, F.lit(now)).select("key", "fetched")
+    return cache.live(entries, CFG.citation_cache_days, F.lit(now)).select("key", "fetched").distinct()
 
 
 BATCH = 200

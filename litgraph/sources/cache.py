@@ -1,4 +1,5 @@
-"""Keyed cache with a time to live, as a Parquet table. Empty values are cached; expired rows count as missing."""
+"""Keyed cache with a time to live, as a Parquet table. A key may have several values, those of its latest fetch, or a
+null that says there are none; expired rows count as missing."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.physical import place_within
+from ..plans.physical import cut, place_within, written
 
 SCHEMA = "key string, fetched timestamp, value string"
 
@@ -24,12 +25,12 @@ def batches(asked: DataFrame, column: str, size: int) -> DataFrame:
 
 
 def live(entries: DataFrame, ttl_days: float | None, now=None) -> DataFrame:
-    """Latest entry of each key that is not older than ``ttl_days`` (None: never expires)."""
-    latest = entries.groupBy("key").agg(F.max(F.struct("fetched", "value")).alias("e")).select("key", "e.fetched", "e.value")
-    if ttl_days is None:
-        return latest
-    age = F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp("fetched")
-    return latest.where(age <= ttl_days * 86400)
+    """Values of the latest fetch of each key, if it is not older than ``ttl_days`` (None: never expires)."""
+    latest = entries.groupBy("key").agg(F.max("fetched").alias("fetched"))
+    if ttl_days is not None:
+        age = F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp("fetched")
+        latest = latest.where(age <= ttl_days * 86400)
+    return entries.select("key", "fetched", "value").join(latest, ["key", "fetched"], "left_semi")
 
 
 class Cache:
@@ -57,10 +58,13 @@ class Cache:
             values.select("key", F.current_timestamp().alias("fetched"), "value").write.mode("append").parquet(self.path)
 
     def through(self, keys: DataFrame, produce: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Values of ``keys``; what is missing is produced and kept. A producer that fails keeps nothing."""
+        """Values of ``keys``; what is missing is produced and kept, with a null where nothing came. A producer that
+        fails keeps nothing."""
         found, missing = self.get(keys)
+        missing = cut(missing)
         if missing.isEmpty():
             return found
-        fresh = produce(missing).select("key", "value").persist()
-        self.put(fresh)
-        return found.unionByName(fresh)
+        fresh = written(produce(missing).select("key", "value"))
+        none = missing.join(fresh, "key", "left_anti").select("key", F.lit(None).cast("string").alias("value"))
+        self.put(fresh.unionByName(none))
+        return cut(found).unionByName(fresh).unionByName(none)

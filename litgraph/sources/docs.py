@@ -89,7 +89,7 @@ def stacked(parts: list[DataFrame], first: int = 0) -> DataFrame:
     return out
 
 
-def load_documents(spark: SparkSession, *, library: DataFrame | None = None, query: str | None = None, pmids=None, refs: str | None = None, texts: list[str] | None = None, links: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
+def load_documents(spark: SparkSession, *, library: DataFrame | None = None, query: str | None = None, pmids=None, refs: str | None = None, texts: list[str] | None = None, links=None, cfg: Config = Config()) -> DataFrame:
     """Query, ids, reference file, texts: in this order. With ``expand_rounds`` and the plain strategy, what the search
     over ``links`` reaches is fetched from the library and added behind.
 

@@ -1,104 +1,108 @@
 """Reference-manager exports: RIS and EndNote XML.
 
 ``read_refs`` reads whole files in the executors and gives (doc_seq, doc_id, title, text, source, pmid, doi, url).
-Records with neither title nor abstract are dropped but counted in the numbering. An unknown format or broken XML is an
-error that names the file.
+``LAYOUT`` says where each column is in either format; both readers only follow it. Records with neither title nor
+abstract are dropped but counted in the numbering. An unknown format or broken XML is an error that names the file.
 """
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
+from typing import NamedTuple
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-TAG_LINE = re.compile(r"^([A-Z][A-Z0-9]) {1,2}-\s?(.*)$")
-STARTS = re.compile(r"(?m)^TY {1,2}-\s")
-XML_SIGNS = ("<?xml", "<xml", "<records", "<record")
 
+class Place(NamedTuple):
+    """RIS tags in order of preference, whether all values of the tag count or its first, path in an XML record."""
 
-def sniff(path: str, text: str) -> str:
-    """``xml`` or ``ris``: by marks of XML at the head, then by the first RIS tag, then by the file's ending."""
-    head = text[:512].lstrip("﻿ \t\r\n").lower()
-    if any(s in head for s in XML_SIGNS):
-        return "xml"
-    if STARTS.search(text):
-        return "ris"
-    ending = path.lower().rsplit(".", 1)[-1]
-    if ending == "xml":
-        return "xml"
-    if ending in ("ris", "txt"):
-        return "ris"
-    raise ValueError(f"cannot tell the format of {path}: expected RIS or EndNote XML")
-
-
-def ris_records(text: str) -> list[dict[str, list[str]]]:
-    """Tagged records. TY, or any tag while none is open, opens one; ER closes it; an untagged line goes on the last
-    value of the last tag. Empty records are left out."""
-    out: list[dict[str, list[str]]] = []
-    record: dict[str, list[str]] | None = None
-    tag = None
-    for line in text.lstrip("﻿").splitlines():
-        m = TAG_LINE.match(line)
-        if m:
-            name, value = m.group(1), m.group(2).strip()
-            if name == "ER":
-                if record:
-                    out.append(record)
-                record = tag = None
-                continue
-            if record is None or name == "TY":
-                if record:
-                    out.append(record)
-                record = {}
-            record.setdefault(name, []).append(value)
-            tag = name
-        elif line.strip() and record is not None and tag:
-            record[tag][-1] = f"{record[tag][-1]} {line.strip()}".strip()
-    if record:
-        out.append(record)
-    return out
+    tags: tuple[str, ...]
+    every: bool
+    path: str
 
 
-def ris_fields(r: dict[str, list[str]]) -> dict[str, str]:
-    first = lambda *tags: next((v for t in tags for v in r.get(t, []) if v), "")
-    accession = first("AN")
-    abstract = " ".join(v for v in (r.get("AB") or r.get("N2") or []) if v)
-    return {"title": first("TI", "T1"), "text": abstract, "pmid": accession if accession.isdigit() else "", "doi": first("DO"), "url": first("UR")}
+#: The columns in RIS and in EndNote XML.
+LAYOUT = {
+    "title": Place(("TI", "T1"), False, "titles/title"),
+    "text": Place(("AB", "N2"), True, "abstract"),
+    "pmid": Place(("AN",), False, "accession-num"),
+    "doi": Place(("DO",), False, "electronic-resource-num"),
+    "url": Place(("UR",), False, "urls/related-urls/url"),
+}
+#: Fixed value: a tagged line of RIS.
+FIELD = re.compile(r"^([A-Z][A-Z0-9]) {1,2}-[^\S\n]?(.*)$", re.M)
+MARK = "﻿"
 
 
-def element_text(e: ET.Element | None) -> str:
-    return "" if e is None else re.sub(r"\s+", " ", "".join(e.itertext())).strip()
+def sniff(path: str, text: str) -> str:
+    """``xml`` or ``ris``: by marks of XML at the head, then by an opening RIS tag, then by the file's ending."""
+    head = text.lstrip(MARK + " \t\r\n")[:512].lower()
+    ending = path.lower().rpartition(".")[2]
+    for format, said in (("xml", head.startswith("<?xml") or "<records>" in head or "<xml>" in head), ("ris", re.search(r"(?m)^TY {1,2}-\s", text)), ("xml", ending == "xml"), ("ris", ending in ("ris", "txt"))):
+        if said:
+            return format
+    raise ValueError(f"cannot tell the format of {path}: expected RIS or EndNote XML")
 
 
-def endnote_records(text: str) -> list[dict[str, str]]:
-    try:
-        root = ET.fromstring(text.lstrip("﻿"))
-    except ET.ParseError as e:
-        raise ValueError(f"malformed EndNote XML: {e}") from e
-    out = []
-    for r in root.iter("record"):
-        accession = element_text(r.find("accession-num"))
-        out.append(
-            {
-                "title": element_text(r.find("titles/title")),
-                "text": element_text(r.find("abstract")),
-                "pmid": accession if accession.isdigit() else "",
-                "doi": element_text(r.find("electronic-resource-num")),
-                "url": element_text(r.find("urls/related-urls/url")),
-            }
-        )
-    return out
+def ris_rows(text: str) -> Iterator[dict[str, str]]:
+    """One row per record. Lines without a tag go on the value before them; a record begins with TY, after ER, and with
+    the first tag; what has no tag but ER is no record."""
+    lines = "\n".join(text.lstrip(MARK).splitlines())
+    marks = list(FIELD.finditer(lines))
+    ends = [m.start() for m in marks[1:]] + [len(lines)]
+    tags = [m[1] for m in marks]
+    values = [" ".join(filter(None, [m[2].strip(), *map(str.strip, lines[m.end() : end].split("\n"))])) for m, end in zip(marks, ends)]
+    numbers = accumulate(int(tag == "TY" or before == "ER") for tag, before in zip(tags, ["ER", *tags]))
+    for _, fields in groupby(zip(numbers, tags, values), key=lambda f: f[0]):
+        of: dict[str, list[str]] = {}
+        for _, tag, value in fields:
+            of.setdefault(tag, []).append(value)
+        of.pop("ER", None)
+        if of:
+            yield {column: ris_value(of, place) for column, place in LAYOUT.items()}
+
+
+def ris_value(of: dict[str, list[str]], place: Place) -> str:
+    given = next((of[tag] for tag in place.tags if tag in of), [""])
+    return " ".join(given).strip() if place.every else given[0]
+
+
+def xml_rows(text: str) -> Iterator[dict[str, str]]:
+    """One row per ``record`` element; of elements at one path the first counts, with its text at any depth."""
+    columns = {place.path: column for column, place in LAYOUT.items()}
+    events = ElementTree.XMLPullParser(("start", "end"))
+    events.feed(text.lstrip(MARK))
+    events.close()
+    above: list[str] = []
+    row: dict[str, str] = {}
+    for event, element in events.read_events():
+        if event == "start":
+            above.append(element.tag)
+            continue
+        if "record" in above:
+            path = "/".join(above[above.index("record") + 1 :])
+            if path in columns:
+                row.setdefault(columns[path], " ".join("".join(element.itertext()).split()))
+        if above.pop() == "record":
+            yield {column: row.get(column, "") for column in LAYOUT}
+            row = {}
+            element.clear()
 
 
 def parse_refs(path: str, text: str) -> list[dict]:
-    found = endnote_records(text) if sniff(path, text) == "xml" else [ris_fields(r) for r in ris_records(text)]
+    try:
+        rows: Iterable[dict[str, str]] = list(xml_rows(text) if sniff(path, text) == "xml" else ris_rows(text))
+    except ElementTree.ParseError as broken:
+        raise ValueError(f"{path} is not well-formed XML: {broken}") from broken
     out = []
-    for i, r in enumerate(found):
-        if r["title"] or r["text"]:
-            out.append({"doc_seq": i, "doc_id": f"PMID:{r['pmid']}" if r["pmid"] else f"ref:{i}", "source": "refs", **r})
+    for i, row in enumerate(rows):
+        if row["title"] or row["text"]:
+            pmid = row["pmid"] if row["pmid"].isdigit() else ""
+            out.append({"doc_seq": i, "doc_id": f"PMID:{pmid}" if pmid else f"ref:{i}", "source": "refs", **row, "pmid": pmid})
     return out
 
 

@@ -60,3 +60,13 @@ def test_rows_with_ordinals(spark):
 
 def test_long_field():
     assert ids(",".join(["10000001"] * 50_000)) == ["10000001"] * 50_000
+
+
+def test_long_fields_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    names("; ".join(["'tHooft, G.", "O'Hara, K"] * 20_000))
+    names("'" * 60_000)
+    ids(" " * 100_000 + "'" * 20_000)
+    assert time.perf_counter() - start < 20

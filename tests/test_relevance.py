@@ -121,3 +121,57 @@ def test_rel_expand_scores_all_it_reaches(spark, sf_dir, monkeypatch):
     asked, whole = [], queries.expansion.expand_pmids
     monkeypatch.setattr(queries.expansion, "expand_pmids", lambda *a: asked.append(a[5]) or whole(*a))
     assert queries.QUERIES["rel_expand"](spark, sf_dir).count() and set(asked) == {None}
+
+
+def test_places_of_any_key(spark):
+    from litgraph.plans.physical import place_within
+
+    r = np.random.default_rng(8)
+    rows = [("hot" if r.random() < 0.6 else f"k{r.integers(4)}", int(r.integers(5)), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, score long, id long")
+    order = [F.desc("score"), F.col("id")]
+    want = {i: n for k in {x[0] for x in rows} for n, (_, i) in enumerate(sorted((-s, i) for q, s, i in rows if q == k), 1)}
+    for most in (10, 10_000):
+        assert {x["id"]: x["at"] for x in place_within(df, "key", order, "at", most).collect()} == want
+    assert place_within(df.limit(0), "key", order, "at").count() == 0
+
+
+def test_top_k_is_the_same_in_parts(spark):
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([("p", i, i, float(r.integers(6)), float(r.integers(9))) for i in range(400)], "pool string, id long, ord long, score double, reported double")
+    best = relevance.top_k(df, 20).select("id", "picked", "rank").collect()
+    every = [x for x in relevance.top_k(df, 0).select("id", "picked").collect() if x["picked"] <= 20]
+    assert {(x["id"], x["picked"]) for x in best} == {(x["id"], x["picked"]) for x in every} and sorted(x["rank"] for x in best) == list(range(1, 21))
+    assert [x["id"] for x in sorted(best, key=lambda x: x["picked"])] == [x["id"] for x in df.orderBy(F.desc("score"), "ord").limit(20).collect()]
+
+
+def gate_inputs(spark):
+    trials = spark.createDataFrame([("r", "s", "seed", 2020), ("r", "t1", "target", 2020), ("q", "s", "seed", 2020)], "review string, pmid string, trial_role string, pub_year int")
+    links = spark.createDataFrame([("s", "t1"), ("s", "t2"), ("s", "t3"), ("f1", "s"), ("f2", "s"), ("f2", "s"), ("s", "s2")], "citer string, cited string")
+    texts = spark.createDataFrame([("s", "pain"), ("t1", "pain"), ("t2", "fish"), ("f1", "fish"), ("f2", "pain"), ("t3", "pain"), ("t3", "x")], "pmid string, term string")
+    return trials, evaluate.linked(trials, links), texts
+
+
+def test_gated_arms(spark):
+    trials, found, texts = gate_inputs(spark)
+    arms = ["relevance:0:1", "relevance_fwd:0:1", "relevance_seeds:0:1", "relevance_seeds_centred:0:2"]
+    got = {}
+    for x in evaluate.gated_arms(trials, found, texts, arms).collect():
+        got.setdefault((x["arm"], x["review"]), set()).add(x["pmid"])
+    assert got["relevance_seeds:0:1", "r"] == {"t1", "f2"} == got["relevance_seeds:0:1", "q"]
+    assert got["relevance:0:1", "r"] == {"f1", "f2"} | {"t1"} or got["relevance:0:1", "r"] == {"f1", "f2", "t2"}
+    assert got["relevance_fwd:0:1", "r"] == {"t1", "t2", "t3", "s2", "f2"}
+    assert got["relevance_seeds_centred:0:2", "r"] == {"t1", "t3", "f1", "f2"}
+    assert {x["pmid"] for x in evaluate.scored_pmids(trials, found, ["relevance"]).collect()} == {"s", "f1", "f2", "t1", "t2", "t3", "s2"}
+    assert evaluate.capped_profile(found.select("review", "pmid"), 2).groupBy("review").count().collect()[0]["count"] == 2
+    with pytest.raises(ValueError):
+        evaluate.gated_arms(trials, found, texts, ["backward"])
+    assert evaluate.gated_arms(trials.limit(0), found.limit(0), texts, arms).count() == 0
+
+
+def test_gated_arms_by_vectors(spark):
+    trials, found, _ = gate_inputs(spark)
+    vec = {"s": [1.0, 0.0], "t1": [1.0, 0.1], "t2": [0.0, 1.0], "t3": [0.6, 0.8], "f1": [0.1, 1.0], "f2": [1.0, 0.2]}
+    vectors = spark.createDataFrame([(k, v) for k, v in vec.items()], "pmid string, vec array<double>")
+    got = evaluate.gated_arms(trials, found, None, ["relevance_seeds:0:1", "relevance_seeds_centred:0:1"], vectors=vectors).where("review = 'r'").collect()
+    assert {(x["arm"], x["pmid"]) for x in got} == {(a, p) for a in ("relevance_seeds:0:1", "relevance_seeds_centred:0:1") for p in ("t1", "f2")}

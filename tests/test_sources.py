@@ -125,3 +125,91 @@ def test_records_keep_the_last(spark):
     df = spark.createDataFrame(rows, "rec_id long, pmid string, title string, pub_year int, journal string, citation_count long, authors string, refs string, cited_by string")
     (r,) = citations.records(df).collect()
     assert r["title"] == "new" and r["authors"] == ["C D", "E F"] and r["refs"] == [] and r["cited_by"] == ["3", "4"]
+
+
+def relevance_inputs(spark):
+    library = spark.createDataFrame([(i, f"PMID:{i}", "", t, str(i)) for i, t in enumerate(["pain receptor trial", "pain receptor block", "fish scales growth", "receptor pain model", "cake and butter", "pain block receptor"], 1)], "doc_seq long, doc_id string, title string, text string, pmid string")
+    links = spark.createDataFrame([("1", "2", "references", "icite"), ("1", "3", "references", "icite"), ("1", "4", "cited_by", "icite"), ("1", "5", "cited_by", "ncbi"), ("1", "6", "references", "icite")], "pmid string, other string, link string, source string")
+    return library, links
+
+
+def test_relevance_expansion_through_the_loader(spark, tmp_path):
+    library, links = relevance_inputs(spark)
+    cfg = Config(expand_rounds=1, expand_strategy="relevance", expand_top_k=1, rocchio_gamma=0, min_doc_freq=1, min_cooccurrence=1, min_pmi=None, do_citation_network=False)
+    loaded = docs.load_documents(spark, library=library, pmids="1", texts=["free text of pain"], links=links, cfg=cfg)
+    result = run_pipeline(spark, loaded, cfg, library=library, links=links, out=str(tmp_path / "out"))
+    assert [r["doc_id"] for r in result.documents.orderBy("doc_seq").collect()] == ["PMID:1", "doc0", "PMID:4", "PMID:2"]
+    assert [r["value"] for r in spark.read.text(result.outputs["pmids"]).collect()] == ["1", "4", "2"]
+    row = result.summary().first()
+    assert (row["added_forward"], row["added_backward"]) == (1, 1)
+    more = run_pipeline(spark, loaded, Config(**{**cfg.__dict__, "expand_top_k": 5}), library=library, links=links)
+    assert [r["doc_id"] for r in more.documents.orderBy("doc_seq").collect()] == ["PMID:1", "doc0", "PMID:4", "PMID:5", "PMID:2", "PMID:6", "PMID:3"]
+
+
+def test_models_of_vectors(spark):
+    from litgraph.operators import embed
+
+    letters_model = lambda: lambda texts: [[t.count("a") + 1.0, t.count("e") + 1.0, float(len(t))] for t in texts]
+
+    def broken_model():
+        raise RuntimeError("no weights")
+
+    df = spark.createDataFrame([(1, "aa e"), (2, None), (3, " ")], "id long, text string")
+    assert {r["id"]: r["vec"] for r in embed.embed(df, "id", "text", letters_model, Config(embed_batch_size=1)).collect()} == {1: [3.0, 2.0, 4.0], 2: None, 3: None}
+    with pytest.warns(UserWarning):
+        assert embed.embedded_or_none(df, "id", "text", broken_model) is None
+    library, links = relevance_inputs(spark)
+    from litgraph.operators import expansion
+
+    cfg = Config(expand_top_k=1, rocchio_gamma=0)
+    seed = library.where("doc_id = 'PMID:1'")
+    by_terms = {r["doc_id"] for r in expansion.relevance_guided_expand(seed, library, links, cfg).collect()}
+    with pytest.warns(UserWarning):
+        assert {r["doc_id"] for r in expansion.relevance_guided_expand(seed, library, links, cfg, embedder=broken_model).collect()} == by_terms
+    assert expansion.relevance_guided_expand(seed, library, links, cfg, embedder=letters_model).count() == 2
+
+
+def test_links_through_the_cache(spark, tmp_path):
+    from litgraph.sources import services
+
+    library, links = relevance_inputs(spark)
+    asked = []
+
+    def fetch(ids):
+        asked.append(sorted(r["id"] for r in ids.collect()))
+        return links.join(ids.withColumnRenamed("id", "pmid"), "pmid", "left_semi")
+
+    held = services.cached(spark, fetch, str(tmp_path / "links"))
+    cfg = Config(expand_rounds=2)
+    for _ in range(2):
+        got = docs.load_documents(spark, library=library, pmids="1", links=held, cfg=cfg)
+        assert {r["doc_id"] for r in got.collect()} == {f"PMID:{i}" for i in range(1, 7)}
+    assert asked == [["1"], ["2", "3", "4", "5", "6"]]  # those without links are held as well
+
+
+def test_search(spark):
+    library, _ = relevance_inputs(spark)
+    found = lambda q: [r["pmid"] for r in docs.search(library, q, 10).collect()]
+    assert found("pain receptor") == ["1", "2", "4", "6"] and found("pain NOT block") == ["1", "4"] and found("fish OR cake AND butter") == ["3", "5"] and found('"pain block"') == ["6"]
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(10, 31)], "pmid string")
+    assert [(r["batch"], len(r["ids"])) for r in cache.batches(df, "pmid", 8).orderBy("batch").collect()] == [(0, 8), (1, 8), (2, 5)]
+
+
+def test_odd_reference_files():
+    ris = "\ufeffAN  - 5\nTI  - \nT1  - other\nAB  - a\nAB  - b\n c\n\nTY  - JOUR\nT1  - two\nER  - \nER  - \n"
+    a, b = refs.parse_refs("x.ris", ris + "TY  - JOUR\nER  - \n")
+    assert (a["title"], a["text"], a["pmid"]) == ("", "a b c", "5") and b["title"] == "two"
+    assert refs.sniff("x.ris", "TY  - JOUR\nAB  - a <record of note\nER  - \n") == "ris"
+    xml = "<xml><records><record><titles><title>A</title><title>B</title></titles></record><record/><record><abstract>x</abstract></record></records></xml>"
+    assert [(r["doc_id"], r["title"], r["text"]) for r in refs.parse_refs("x", xml)] == [("ref:0", "A", ""), ("ref:2", "", "x")]
+
+
+def test_repeated_ids_keep_first_place_and_last_content(spark):
+    from litgraph.operators import graph, terms
+
+    df = spark.createDataFrame([(3, "a", "", "late"), (1, "a", "", "early"), (2, "b", "t", None), (5, None, "", "x")], "doc_seq long, doc_id string, title string, text string")
+    assert {(r["doc_seq"], r["doc_id"], r["content"]) for r in terms.one_per_id(df).collect()} == {(1, "a", "late"), (2, "b", "t. ")}
+    assert {(r["doc_id"], r["text"]) for r in graph.last_wins(df, "doc_id", "doc_seq").collect()} == {("a", "late"), ("b", None)}
