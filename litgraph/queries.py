@@ -770,6 +770,45 @@ def term_vectors(spark, sf_dir):
     return ranking(spark, sf_dir).join(v, "rank").select(F.col("rank").alias("pos"), "term", "vec")
 
 
+@query(
+    f"""WITH {VECS_SQL}, {cosine_sql('w', 's', 0.25)}, {cosine_sql('c', 'z', 0.25)},
+b AS (SELECT s.pool, s.id, z.score AS reported, row_number() OVER (PARTITION BY s.pool ORDER BY s.score DESC, s.id) AS picked FROM s JOIN z USING (pool, id))
+SELECT pool, id, CAST(picked AS INTEGER) AS picked, CAST(row_number() OVER (PARTITION BY pool ORDER BY reported DESC, picked) AS INTEGER) AS rank FROM b WHERE picked <= 50"""
+)
+def topk_embed(spark, sf_dir):
+    """Chosen by the raw cosines, in order of the centred ones."""
+    return relevance.top_k(relevance.embed_scores(*vectors(spark, sf_dir), CFG), CFG.expand_top_k).select("pool", "id", "picked", "rank")
+
+
+@query(
+    f"""WITH {COUNTS_SQL}, t AS (SELECT count(*) AS terms FROM ranked JOIN embeddings ON vec_id + 1 = rank)
+SELECT 'hdbscan' AS method, terms, CAST(0 AS BIGINT) AS without_medoid, CAST(0 AS BIGINT) AS named_noise, CAST(0 AS BIGINT) AS out_of_order FROM t UNION ALL SELECT 'kmeans', terms, 0, 0, 0 FROM t"""
+)
+def cluster_totals(spark, sf_dir):
+    """What holds for clusters of any method: every term once, one medoid in each that names it, noise without a name,
+    and larger clusters first."""
+    terms_ = term_vectors(spark, sf_dir).persist()
+    out = None
+    for method in ("hdbscan", "kmeans"):
+        got = cluster.cluster_terms(terms_, Config(cluster_method=method))
+        each = got.groupBy("cluster_id").agg(F.count_distinct("term").alias("n"), F.count_if(F.col("is_centroid") & (F.col("term") == F.col("centroid_term"))).alias("medoids"), F.max("centroid_term").alias("name"))
+        larger = F.coalesce(F.lag("n").over(Window.partitionBy(F.col("cluster_id") >= 0).orderBy("cluster_id")), F.col("n"))
+        each = each.withColumn("wrong", (F.col("cluster_id") >= 0) & (F.col("n") > larger))
+        one = each.agg(F.sum("n").alias("terms"), F.count_if((F.col("cluster_id") >= 0) & (F.col("medoids") != 1)).alias("without_medoid"), F.count_if((F.col("cluster_id") < 0) & (F.col("name") != "")).alias("named_noise"), F.count_if("wrong").alias("out_of_order"))
+        one = one.select(F.lit(method).alias("method"), "terms", "without_medoid", "named_noise", "out_of_order")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {COUNTS_SQL}, t AS (SELECT count(*) AS terms FROM ranked JOIN embeddings ON vec_id + 1 = rank)
+SELECT terms, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS xy, true AS wider FROM t""")
+def plane_totals(spark, sf_dir):
+    """What holds for two leading components: their means are 0, they don't go together, and the first is the wider."""
+    p = cluster.plane(term_vectors(spark, sf_dir))
+    zero = lambda c: (F.round(c, 6) + 0.0)
+    return p.agg(F.count("*").alias("terms"), zero(F.avg("x")).alias("x"), zero(F.avg("y")).alias("y"), zero(F.avg(F.col("x") * F.col("y"))).alias("xy"), (F.sum(F.col("x") * F.col("x")) >= F.sum(F.col("y") * F.col("y"))).alias("wider"))
+
+
 @query()
 def hdbscan_clusters(spark, sf_dir):
     return cluster.cluster_terms(term_vectors(spark, sf_dir), CFG)

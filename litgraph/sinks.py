@@ -71,25 +71,32 @@ def author_view(nodes: DataFrame, value: str = "in_corpus_citations") -> DataFra
     return sized(seen.withColumnRenamed("author", "node"), value, 10, 30)
 
 
+#: Nodes of a page that carry a label
+LABELLED = 20
 PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>
-<svg id="s" width="1100" height="800" viewBox="-1.15 -1.15 2.3 2.3"></svg><script>
+<svg id="s" width="1100" height="800" viewBox="-1.15 -1.15 2.3 2.3"></svg><p>Colour: from few (pale) to many. Arrows point to what is cited.</p><script>
 const G={data};const S=document.getElementById("s"),N="http://www.w3.org/2000/svg";let t=0;
 function spin(p){{const c=Math.cos(t),s=Math.sin(t);return[p.x*c+p.z*s,p.y]}}
-function draw(){{S.textContent="";const at={{}};G.nodes.forEach(n=>at[n.node]=spin(n));
+const D='<defs><marker id="m" viewBox="0 0 8 8" refX="8" refY="4" markerWidth="7" markerHeight="7" orient="auto"><path d="M0 0 8 4 0 8z" fill="#999"/></marker></defs>';
+const shade=n=>"hsl(212,70%,"+(82-52*(n.size-10)/30)+"%)";
+function draw(){{S.innerHTML=D;const at={{}};G.nodes.forEach(n=>at[n.node]=spin(n));
 G.edges.forEach(e=>{{const l=document.createElementNS(N,"line"),a=at[e[0]],b=at[e[1]];if(!a||!b)return;
 l.setAttribute("x1",a[0]);l.setAttribute("y1",a[1]);l.setAttribute("x2",b[0]);l.setAttribute("y2",b[1]);
-l.setAttribute("stroke","#bbb");l.setAttribute("stroke-width",.002);S.append(l)}});
+l.setAttribute("stroke","#bbb");l.setAttribute("stroke-width",.002);l.setAttribute("marker-end","url(#m)");S.append(l)}});
 G.nodes.forEach(n=>{{const c=document.createElementNS(N,"circle");c.setAttribute("cx",at[n.node][0]);c.setAttribute("cy",at[n.node][1]);
-c.setAttribute("r",n.size/1500);c.setAttribute("fill","#1f77b4");const h=document.createElementNS(N,"title");h.textContent=n.tooltip;c.append(h);S.append(c)}})}}
+c.setAttribute("r",n.size/1500);c.setAttribute("fill",shade(n));const h=document.createElementNS(N,"title");h.textContent=n.tooltip;c.append(h);S.append(c);
+if(n.label){{const x=document.createElementNS(N,"text");x.setAttribute("x",at[n.node][0]+.02);x.setAttribute("y",at[n.node][1]);x.setAttribute("font-size",.03);x.textContent=n.label;S.append(x)}}}})}}
 draw();S.onmousemove=e=>{{if(e.buttons&&{spin}){{t+=e.movementX/150;draw()}}}};</script></body></html>
 """
 
 
 def write_network(view: DataFrame, edges: DataFrame, path: str, title: str, three_d: bool = False, seed: int = 0) -> str:
-    """A page with the graph laid out in shells; nodes carry size and tooltip. ``edges`` (a, b)."""
+    """A page with the graph laid out in shells; nodes carry size, tooltip and, the ``LABELLED`` largest, a label.
+    ``edges`` (a, b) are drawn as arrows."""
     shell = layout.shells(view.select("node"), edges, seed)
     rows = view.select("node", "size", "tooltip").join(shell.select("node", "x", "y", "z"), "node").collect()
-    nodes = [{"node": r["node"], "size": r["size"], "tooltip": r["tooltip"], "x": r["x"], "y": r["y"], "z": r["z"] if three_d else 0.0} for r in rows]
+    large = {r["node"] for r in sorted(rows, key=lambda r: (-r["size"], r["node"]))[:LABELLED]}
+    nodes = [{"node": r["node"], "label": r["tooltip"].split("\n")[0][:60] if r["node"] in large else "", "size": r["size"], "tooltip": r["tooltip"], "x": r["x"], "y": r["y"], "z": r["z"] if three_d else 0.0} for r in rows]
     data = json.dumps({"nodes": nodes, "edges": [[e["a"], e["b"]] for e in edges.collect()]}).replace("</", "<\\/")
     with open(path, "w", encoding="utf-8") as f:
         f.write(PAGE.format(title=html.escape(title), data=data, spin="true" if three_d else "false"))
