@@ -412,35 +412,41 @@ def prefixes(spellings: DataFrame, size: int) -> DataFrame:
     return spellings.join(ranked, "family").withColumn("gram", F.explode("g.gram")).drop("g")
 
 
-def verified(pairs: DataFrame, total: int) -> DataFrame:
-    """(inst_a, family_a, inst_b, family_b) of the candidate pairs that are similar enough.
-
-    A token weighs ln(1 + total / uses); a family name that of its commoner spelling. ``agreed`` is the weight of
-    institution and initial, which agree. Family names agree to the share 1 - edits / length, and the share they
-    disagree in counts with the weight of a token used once, however common the name. Two spellings both in wide use
-    are two names.
-    """
+def distances(pairs: DataFrame) -> DataFrame:
+    """(family_a, family_b, d) of the distinct pairs of family names that are within the slips they may have."""
+    # two letters turned are two edits here; the bound spares Python most candidates
+    edits = F.levenshtein("family_a", "family_b", 4)
+    allowed = F.when(F.least(F.char_length("family_a"), F.char_length("family_b")) >= LONG, 4).otherwise(2)
+    some = pairs.where((edits >= 0) & (edits <= allowed)).select("family_a", "family_b").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (a, b, ua, ub, agreed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family_a", "family_b", "uses_a", "uses_b", "agreed")))):
+            at, ds = [], []
+            for i, (a, b) in enumerate(zip(batch.column("family_a").to_pylist(), batch.column("family_b").to_pylist())):
                 shorter = min(len(a), len(b))
                 most = 2 if shorter >= LONG else 1
                 d = distance(a, b, most)
-                if d > most or (d and shorter < 4) or (d and min(ua, ub) >= max(COMMON, max(ua, ub) / OFTEN)):
-                    continue
-                share = 1 - d / max(len(a), len(b))
-                for_it, against = log1p(total / max(ua, ub)) * share + agreed, log1p(total) * (1 - share)
-                if for_it >= SIMILAR * (for_it + against):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(["inst_a", "family_a", "inst_b", "family_b"])
+                if d <= most and (not d or shorter >= 4):
+                    at.append(i)
+                    ds.append(d)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("family_a", "family_b")), pa.array(ds, pa.int32())], names=["family_a", "family_b", "d"])
 
-    # two letters turned are two edits here; the bound spares Python most candidates
-    edits = F.levenshtein("family_a", "family_b", 4)
-    allowed = F.when(F.least(F.char_length("family_a"), F.char_length("family_b")) >= LONG, 4).otherwise(2)
-    one = pairs.where((edits >= 0) & (edits <= allowed)).groupBy("inst_a", "family_a", "inst_b", "family_b", "uses_a", "uses_b").agg(F.max("agreed").alias("agreed"))
-    return one.mapInArrow(run, "inst_a string, family_a string, inst_b string, family_b string")
+    return some.mapInArrow(run, "family_a string, family_b string, d int")
+
+
+def verified(pairs: DataFrame, total: int) -> DataFrame:
+    """(inst_a, family_a, inst_b, family_b) of the pairs, with their distance ``d``, that are similar enough.
+
+    A token weighs ln(1 + total / uses); a family name that of its commoner spelling. ``agreed`` is the weight of
+    institution and initial, which agree. Family names agree to the share 1 - edits / length, and the share they
+    disagree in counts with the weight of a token used once, however common the name. Two spellings both in wide use
+    are two names.
+    """
+    more, less = F.greatest("uses_a", "uses_b"), F.least("uses_a", "uses_b")
+    two = (F.col("d") > 0) & (less >= F.greatest(F.lit(float(COMMON)), more / OFTEN))
+    share = 1 - F.col("d") / F.greatest(F.char_length("family_a"), F.char_length("family_b"))
+    for_it, against = F.log1p(F.lit(total) / more) * share + F.col("agreed"), F.lit(log1p(total)) * (1 - share)
+    return pairs.where(~two & (for_it >= SIMILAR * (for_it + against))).select("inst_a", "family_a", "inst_b", "family_b").distinct()
 
 
 def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name", affiliation: str = "affiliation") -> DataFrame:
@@ -472,13 +478,18 @@ def persons(bylines: DataFrame, key: str = "byline_id", name: str = "author_name
     keyed = written(keyed.select("inst", "letter", "gram", "family", "uses", (F.col("home") + F.col("first")).alias("agreed")))
     near = pairs_within(keyed, ["inst", "letter", "gram"], "family", BLOCK)
     near = near.select(F.col("inst").alias("inst_a"), F.col("inst").alias("inst_b"), F.col("family_x").alias("family_a"), F.col("family_y").alias("family_b"), F.col("uses_x").alias("uses_a"), F.col("uses_y").alias("uses_b"), F.col("agreed_x").alias("agreed"))
-    # without an affiliation: against all, a gram's names in blocks
-    wide = written(prefixes(spelled, WIDE_GRAM).select("gram", "inst", "family", "uses", "home"))
-    blocks = wide.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.count_if(F.col("inst") == "").alias("open")).where("open > 0").select("gram", "k")
+    near = written(near)
+    near = near.join(distances(near), ["family_a", "family_b"])
+    # without an affiliation: against all family names, a gram's names in blocks; where they are used comes afterwards
+    families = spelled.groupBy("family").agg(F.max("uses").alias("uses"), F.max(F.col("inst") == "").alias("open"))
+    wide = written(prefixes(families, WIDE_GRAM).select("gram", "family", "open"))
+    blocks = wide.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.count_if("open").alias("o")).where("o > 0").select("gram", "k")
     placed = wide.join(blocks, "gram")
-    u = placed.where("inst = ''").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    u, v = (df.select("gram", "blk", F.col("inst").alias(f"inst_{s}"), F.col("family").alias(f"family_{s}"), F.col("uses").alias(f"uses_{s}"), F.col("home").alias(f"home_{s}")) for s, df in (("a", u), ("b", placed.withColumn("blk", F.pmod(F.xxhash64("inst", "family"), "k").cast("int")))))
-    apart = u.join(v, ["gram", "blk"]).where("inst_b <> '' OR family_a <> family_b").withColumn("agreed", F.greatest("home_a", "home_b"))
+    u = placed.where("open").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("gram", "blk", F.col("family").alias("family_a"))
+    v = placed.withColumn("blk", F.pmod(F.xxhash64("family"), "k").cast("int")).select("gram", "blk", F.col("family").alias("family_b"))
+    alike = distances(u.join(v, ["gram", "blk"]))
+    there = spelled.select(F.col("family").alias("family_b"), F.col("inst").alias("inst_b"), F.col("uses").alias("uses_b"), F.greatest(F.col("home"), F.lit(usual)).alias("agreed"))
+    apart = alike.join(families.select(F.col("family").alias("family_a"), F.col("uses").alias("uses_a")), "family_a").join(there, "family_b").where("inst_b <> '' OR family_a <> family_b").withColumn("inst_a", F.lit(""))
     edges = verified(near.unionByName(apart.select(*near.columns)), total)
 
     # every spelling goes to the commonest it matches, twice, since a slip of a slip matches only the first
