@@ -148,8 +148,14 @@ def precision_recall(retrieved: DataFrame, trials: DataFrame, arms=None) -> Data
     target = role(trials, "target").join(seeds, ["review", "pmid"], "left_anti")
     got = retrieved.select("arm", "review", "pmid").distinct().join(seeds, ["review", "pmid"], "left_anti")
     found = got.join(target.withColumn("hit", F.lit(1)), ["review", "pmid"], "left").groupBy("arm", "review").agg(F.count("*").alias("n_retrieved"), F.count("hit").alias("hits"))
-    wanted = role(trials, "seed").select("review").unionByName(target.select("review")).distinct().join(target.groupBy("review").agg(F.count("*").alias("n_target")), "review", "left")
     arms = [r["arm"] for r in retrieved.select("arm").distinct().collect()] if arms is None else list(arms)
+    return rates(found, trials, arms)
+
+
+def rates(found: DataFrame, trials: DataFrame, arms: list[str]) -> DataFrame:
+    """``precision_recall`` from the counts (arm, review, n_retrieved, hits)."""
+    target = role(trials, "target").join(role(trials, "seed"), ["review", "pmid"], "left_anti")
+    wanted = role(trials, "seed").select("review").unionByName(target.select("review")).distinct().join(target.groupBy("review").agg(F.count("*").alias("n_target")), "review", "left")
     grid = wanted.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in sorted(arms)]) if arms else F.array().cast("array<string>")))
     rows = grid.join(found, ["arm", "review"], "left").select("arm", "review", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_retrieved", "n_target", "hits")])
     p, r = ratio(F.col("hits"), F.col("n_retrieved")), ratio(F.col("hits"), F.col("n_target"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .config import Config
 from .functions.text import STOPLIST, content, normal_term
-from .operators import citations, cluster, cooccur, discovery, evaluate, expansion, graph, layout, relevance, terms
+from .operators import citations, cluster, cooccur, discovery, evaluate, expansion, graph, layout, relevance, retrieval, terms
 from .operators.packed import packed_values
 from .plans.physical import written
 from .sources import cache, docs, ids, refs
@@ -668,6 +668,13 @@ def links_of_seeds(spark, sf_dir):
     return r, trials, written(evaluate.linked(trials, citations.reported(r)))
 
 
+def portions(spark, sf_dir, by_titles=False):
+    """(trials, what the seeds link to as ``retrieval.portions``)."""
+    r, trials = written(citations.records(table(spark, sf_dir, "papers"))), table(spark, sf_dir, "trials")
+    texts = written(evaluate.title_terms(r)) if by_titles else None
+    return trials, retrieval.portions(trials, citations.reported(r), r.select("pmid", F.col("year").alias("pub_year")), texts)
+
+
 def arm(spark, sf_dir, direction):
     links = citations.reported(citations.records(table(spark, sf_dir, "papers")))
     return evaluate.seed_links(table(spark, sf_dir, "trials"), links, direction)
@@ -699,7 +706,7 @@ def retrieved(spark, sf_dir):
 
 @query(f"WITH {ARMS_SQL} SELECT arm, review, pmid FROM cut")
 def year_cutoff(spark, sf_dir):
-    return retrieved(spark, sf_dir)
+    return retrieval.retrieved(portions(spark, sf_dir)[1])
 
 
 @query(f"WITH {ARMS_SQL} SELECT arm, review, n_retrieved, n_target, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
