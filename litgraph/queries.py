@@ -704,6 +704,11 @@ def retrieved(spark, sf_dir):
     return dated(evaluate.plain_arms(found), trials, r)
 
 
+def scored(spark, sf_dir, arms=evaluate.PLAIN):
+    trials, held = portions(spark, sf_dir, by_titles=any(a not in evaluate.PLAIN for a in arms))
+    return evaluate.rates(written(retrieval.counted(held, arms)), trials, arms)
+
+
 @query(f"WITH {ARMS_SQL} SELECT arm, review, pmid FROM cut")
 def year_cutoff(spark, sf_dir):
     return retrieval.retrieved(portions(spark, sf_dir)[1])
@@ -711,8 +716,7 @@ def year_cutoff(spark, sf_dir):
 
 @query(f"WITH {ARMS_SQL} SELECT arm, review, n_retrieved, n_target, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def eval_prf(spark, sf_dir):
-    scored = evaluate.precision_recall(retrieved(spark, sf_dir), table(spark, sf_dir, "trials"), evaluate.PLAIN)
-    return scored.select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return scored(spark, sf_dir).select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 MEASURES = ("precision", "recall", "f1", "n_retrieved")

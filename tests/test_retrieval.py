@@ -42,7 +42,7 @@ def by_pairs(spark, path, arms):
 MOST = 0.45
 
 
-@pytest.mark.parametrize("name", ["year_cutoff"])
+@pytest.mark.parametrize("name", ["year_cutoff", "eval_prf"])
 def test_pairs_with_hubs_do_not_move(spark, hub_dir, name):
     before = moved(spark)
     queries.QUERIES[name](spark, hub_dir).write.format("noop").mode("overwrite").save()
@@ -54,6 +54,7 @@ def test_plain_arms_with_hubs(spark, hub_dir):
     rows = lambda df: sorted(tuple(x) for x in df.select("arm", "review", "pmid").collect())
     want = rows(got)
     assert len(want) > 2 * REVIEWS * CITERS * 0.4 and rows(queries.QUERIES["year_cutoff"](spark, hub_dir)) == want
+    assert sorted(map(tuple, queries.scored(spark, hub_dir).collect())) == sorted(map(tuple, evaluate.precision_recall(got, trials, evaluate.PLAIN).collect()))
 
 
 def test_first_of():
