@@ -699,11 +699,6 @@ def dated(arms, trials, r):
     return evaluate.year_cutoff(arms, trials, r.select("pmid", F.col("year").alias("pub_year")))
 
 
-def retrieved(spark, sf_dir):
-    r, trials, found = links_of_seeds(spark, sf_dir)
-    return dated(evaluate.plain_arms(found), trials, r)
-
-
 def scored(spark, sf_dir, arms=evaluate.PLAIN):
     trials, held = portions(spark, sf_dir, by_titles=any(a not in evaluate.PLAIN for a in arms))
     return evaluate.rates(written(retrieval.counted(held, arms)), trials, arms)
@@ -724,7 +719,7 @@ MEASURES = ("precision", "recall", "f1", "n_retrieved")
 
 @query(f"WITH {ARMS_SQL} SELECT arm, count(*) AS reviews, {', '.join(f'round(median({m}), 6) AS median_{m}, round(avg({m}), 6) AS mean_{m}' for m in MEASURES)} FROM f GROUP BY arm")
 def eval_summary(spark, sf_dir):
-    summary = evaluate.summarize(evaluate.precision_recall(retrieved(spark, sf_dir), table(spark, sf_dir, "trials"), evaluate.PLAIN))
+    summary = evaluate.summarize(scored(spark, sf_dir))
     return summary.select("arm", "reviews", *[F.round(f"{s}_{m}", 6).alias(f"{s}_{m}") for m in MEASURES for s in ("median", "mean")])
 
 
