@@ -743,8 +743,7 @@ SELECT arm, review, n_retrieved, n_target, hits, round(precision, 6) AS precisio
 )
 def eval_relevance(spark, sf_dir):
     """Arms gated by relevance over the papers that a review's seeds link to, by the terms of their titles."""
-    scored = gated(spark, sf_dir, ARMS_BY_RELEVANCE)
-    return scored.select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return scored(spark, sf_dir, ARMS_BY_RELEVANCE).select("arm", "review", "n_retrieved", "n_target", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(

@@ -42,7 +42,7 @@ def by_pairs(spark, path, arms):
 MOST = 0.45
 
 
-@pytest.mark.parametrize("name", ["year_cutoff", "eval_prf", "eval_summary"])
+@pytest.mark.parametrize("name", ["year_cutoff", "eval_prf", "eval_summary", "eval_relevance"])
 def test_pairs_with_hubs_do_not_move(spark, hub_dir, name):
     before = moved(spark)
     queries.QUERIES[name](spark, hub_dir).write.format("noop").mode("overwrite").save()
@@ -57,6 +57,12 @@ def test_plain_arms_with_hubs(spark, hub_dir):
     assert sorted(map(tuple, queries.scored(spark, hub_dir).collect())) == sorted(map(tuple, evaluate.precision_recall(got, trials, evaluate.PLAIN).collect()))
 
 
+def test_gated_arms_with_hubs(spark, hub_dir):
+    arms = ["relevance", "relevance_fwd:0.5", "relevance_seeds:0.25:10", "relevance_seeds:0:0", "relevance_centred:0"]
+    trials, got = by_pairs(spark, hub_dir, arms)
+    assert sorted(map(tuple, queries.scored(spark, hub_dir, arms).collect())) == sorted(map(tuple, evaluate.precision_recall(got, trials, arms).collect()))
+
+
 def test_first_of():
     import numpy as np
 
