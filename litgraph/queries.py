@@ -662,12 +662,6 @@ def picked_sql(scores: str, n: str) -> str:
     return f"pk{n} AS (SELECT gate, review, {scores}.id AS pmid, row_number() OVER (PARTITION BY {scores}.pool ORDER BY score DESC, {scores}.ord) AS picked FROM {scores} JOIN pool ON pool.pool = {scores}.pool AND pool.id = {scores}.id)"
 
 
-def links_of_seeds(spark, sf_dir):
-    """(records, trials, what the seeds link to)."""
-    r, trials = written(citations.records(table(spark, sf_dir, "papers"))), table(spark, sf_dir, "trials")
-    return r, trials, written(evaluate.linked(trials, citations.reported(r)))
-
-
 def portions(spark, sf_dir, by_titles=False):
     """(trials, what the seeds link to as ``retrieval.portions``)."""
     r, trials = written(citations.records(table(spark, sf_dir, "papers"))), table(spark, sf_dir, "trials")
@@ -695,10 +689,6 @@ def arm_both(spark, sf_dir):
     return arm(spark, sf_dir, "both")
 
 
-def dated(arms, trials, r):
-    return evaluate.year_cutoff(arms, trials, r.select("pmid", F.col("year").alias("pub_year")))
-
-
 def scored(spark, sf_dir, arms=evaluate.PLAIN):
     trials, held = portions(spark, sf_dir, by_titles=any(a not in evaluate.PLAIN for a in arms))
     return evaluate.rates(written(retrieval.counted(held, arms)), trials, arms)
@@ -727,12 +717,6 @@ ARMS_BY_RELEVANCE = ["relevance", "relevance_fwd", "relevance_seeds", "relevance
 GAMMAS = [0.0, 0.25, 0.5]
 
 
-def gated(spark, sf_dir, arms):
-    r, trials, found = links_of_seeds(spark, sf_dir)
-    got = evaluate.gated_arms(trials, found, written(evaluate.title_terms(r)), arms)
-    return evaluate.precision_recall(dated(got, trials, r), trials, arms)
-
-
 @query(
     f"""WITH {GATES_SQL}, {rocchio_sql(0.25)}, {picked_sql("s1", "")},
 arms AS (SELECT DISTINCT * FROM (SELECT 'relevance' AS arm, review, pmid FROM pk WHERE gate = 'bwd' AND picked <= 50 UNION ALL SELECT 'relevance', * FROM fwd
@@ -753,7 +737,7 @@ SELECT arm, count(*) AS reviews, {", ".join(f"round(median({m}), 6) AS median_{m
 )
 def eval_gamma_sweep(spark, sf_dir):
     """One arm for every gamma."""
-    summary = evaluate.summarize(gated(spark, sf_dir, [f"relevance:{g}" for g in GAMMAS]))
+    summary = evaluate.summarize(scored(spark, sf_dir, [f"relevance:{g}" for g in GAMMAS]))
     return summary.select("arm", "reviews", *[F.round(f"{s}_{m}", 6).alias(f"{s}_{m}") for m in MEASURES for s in ("median", "mean")])
 
 

@@ -42,7 +42,7 @@ def by_pairs(spark, path, arms):
 MOST = 0.45
 
 
-@pytest.mark.parametrize("name", ["year_cutoff", "eval_prf", "eval_summary", "eval_relevance"])
+@pytest.mark.parametrize("name", ["year_cutoff", "eval_prf", "eval_summary", "eval_relevance", "eval_gamma_sweep"])
 def test_pairs_with_hubs_do_not_move(spark, hub_dir, name):
     before = moved(spark)
     queries.QUERIES[name](spark, hub_dir).write.format("noop").mode("overwrite").save()
